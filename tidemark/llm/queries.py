@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import quality_rules, topk, url_trust
 
 QUERIES = {
+    "op1_url_trust": url_trust.op1_url_trust,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op10_topk": topk.op10_topk,
 }
 
 ORACLE = {
+    "op1_url_trust": url_trust.SQL,
+    "op2_quality_rules": quality_rules.SQL,
     "op10_topk": topk.SQL,
 }
