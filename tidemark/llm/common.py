@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_cache(key: str, make):
+    """An object kept by this Python worker over its tasks."""
+    kept = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, topk, url_trust
+from . import bpe, quality_rules, sharding, topk, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.op1_url_trust,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_bpe": bpe.op9_bpe,
     "op10_topk": topk.op10_topk,
 }
 
