@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, quality_classifier, quality_rules, sharding, topk, url_trust
+from . import bpe, jaccard_join, quality_classifier, quality_rules, sharding, substring_dedup, topk, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.op1_url_trust,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE = {
     "op1_url_trust": url_trust.SQL,
     "op2_quality_rules": quality_rules.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op10_topk": topk.SQL,
 }
