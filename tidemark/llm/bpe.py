@@ -28,8 +28,26 @@ from pyspark.sql import functions as F
 from .common import table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries and bytes of an entry that a worker keeps.
+#: Entries that a worker keeps, about, and their length at most; the most frequent words come first.
 KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+#: Symbols up to which a word is merged by scanning a list.
+SHORT, NEVER = 48, 1 << 60
+#: Printable ASCII is its own byte-level form; the file's splitting rule for it, after lower-casing.
+PLAIN = re.compile(rb"[!-~]+")
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN_RULES = json.dumps(
+    [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ],
+    sort_keys=True,
+)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -46,6 +64,8 @@ class Codec:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        # the short way for ASCII holds for files with these rules
+        self.plain = json.dumps([spec["normalizer"], spec["pre_tokenizer"]], sort_keys=True) == PLAIN_RULES and all(c.startswith("<|") for c in self.added)
         self.special = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) or r"(?!)")
         names = {**self.ids, **self.added}
         self.names = [""] * (max(names.values()) + 1)
@@ -60,10 +80,14 @@ class Codec:
         self.rank, self.left, self.right = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
         for rank, (a, b, made) in enumerate(pairs):
             self.rank[made], self.left[made], self.right[made] = rank, a, b
+        sound, k = self.sound_tokens(), len(self.suffix)
+        #: sound tokens by their text, inside and at the end of a word
+        self.inner = {t: i for t, i in self.ids.items() if sound[i] and not (k and t.endswith(self.suffix))}
+        self.last = {t[:-k] if k else t: i for t, i in self.ids.items() if sound[i] and t.endswith(self.suffix)}
         self.longest = max(map(len, self.ids))
+        self.decimal = [str(i) for i in range(self.n)]
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[bytes, tuple[bytes, int, bytes]] = {}
-        self.sound: dict[int, bool] = {}
 
     def symbols(self, word: str) -> list[int]:
         """Ids of the single characters, the last with the suffix; unknown ones are left out."""
@@ -72,6 +96,27 @@ class Codec:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Exact merging: lowest rank first, then leftmost."""
+        return self._merged_short(ids) if len(ids) <= SHORT else self._merged_long(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        ids, none = list(ids), (NEVER, -1)
+        get = self.merge.get
+        best = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while best:
+            first = min(best)
+            if first is none or first[0] == NEVER:
+                break
+            i = best.index(first)
+            ids[i : i + 2] = [first[1]]
+            del best[i]
+            if i:
+                best[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(best):
+                best[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """With a heap, for words of any length."""
         ids = list(ids)
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -94,26 +139,28 @@ class Codec:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def is_sound(self, token: int) -> bool:
-        """Whether the token is the BPE result of its own characters."""
-        if token not in self.sound:
-            parts, t = [], [token]
-            while t:  # its characters, by undoing its merges
-                x = t.pop()
-                if self.rank[x] < 0:
-                    parts.append(x)
-                else:
-                    t += [int(self.right[x]), int(self.left[x])]
-            self.sound[token] = self.merged(parts) == [token]
-        return self.sound[token]
+    def sound_tokens(self) -> np.ndarray:
+        """Whether each token is the BPE result of its own characters: so are its parts, and nothing crosses their border before its own merge."""
+        made = np.flatnonzero(self.rank >= 0)
+        alone = np.ones(self.n, bool)
+        alone[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
+        for t in made[np.argsort(self.rank[made])].tolist():
+            alone[t] &= alone[self.left[t]] & alone[self.right[t]]
+        return alone
 
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match, or None where it finds no way."""
-        out, i, n = [], 0, len(word)
+        whole = self.last.get(word)
+        if whole is not None:
+            return [whole]
+        out, i, n, inner, last, longest = [], 0, len(word), self.inner, self.last, self.longest
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                token = self.ids.get(word[i:j] + self.suffix if j == n else word[i:j])
-                if token is not None and self.is_sound(token):
+            if n - i <= longest and (token := last.get(word[i:])) is not None:
+                out.append(token)
+                return out
+            for j in range(min(n - 1, i + longest), i, -1):
+                token = inner.get(word[i:j])
+                if token is not None:
                     out.append(token)
                     i = j
                     break
@@ -121,11 +168,11 @@ class Codec:
                 return None
         return out
 
-    def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """For pairs of neighbours: does BPE leave the border between them?"""
+    def compatible(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """For pairs of neighbours: does BPE leave the border between them, at least up to the merge `limit`?"""
         x, y = x.copy(), y.copy()
         good, live = np.ones(len(x), bool), np.arange(len(x))
-        limit = np.full(len(x), np.iinfo(np.int64).max)
+        limit = np.full(len(x), np.iinfo(np.int64).max) if limit is None else limit.copy()
         while len(live):
             a, b, key = x[live], y[live], x[live] * self.n + y[live]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -165,13 +212,14 @@ class Codec:
                     out[w] = p
         for w in exact:
             out[w] = self.merged(self.symbols(w))
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        self.words.update((w, p) for w, p in out.items() if len(w) <= KEPT_LENGTH)
+        if len(self.words) < KEPT_WORDS:
+            self.words.update((w, p) for w, p in out.items() if len(w) <= KEPT_LENGTH)
         return out
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         """Words of a run without blanks, after normalising and splitting, and the ids of added tokens."""
+        if self.plain and PLAIN.fullmatch(chunk) and b"<|" not in chunk:
+            return PLAIN_PIECES.findall(chunk.decode("ascii").lower())
         text, out, end = chunk.decode("utf-8"), [], 0
 
         def plain(part: str):
@@ -187,17 +235,22 @@ class Codec:
 
     def encode_chunks(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, int, bytes]]:
         """chunk -> (decimal ids joined by spaces, their number, decoded text)."""
-        known = {c: self.chunks[c] for c in chunks if c in self.chunks}
-        cut = {c: self.pieces(c) for c in chunks if c not in known}
+        known, cut, get = {}, {}, self.chunks.get
+        for c in chunks:
+            got = get(c)
+            if got is None:
+                cut[c] = self.pieces(c)
+            else:
+                known[c] = got
         ids = self.learn({w for p in cut.values() for w in p if isinstance(w, str)})
         fresh = {}
         for c, p in cut.items():
-            t = [i for w in p for i in ((w,) if isinstance(w, int) else ids[w])]
-            fresh[c] = (" ".join(map(str, t)).encode(), len(t), " ".join(self.names[i] for i in t).encode())
-        if len(self.chunks) > KEPT_WORDS:
-            self.chunks.clear()
-        self.chunks.update((c, v) for c, v in fresh.items() if len(c) <= KEPT_LENGTH)
-        return known | fresh
+            t = ids[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in ((w,) if isinstance(w, int) else ids[w])]
+            fresh[c] = (" ".join([self.decimal[i] for i in t]).encode(), len(t), " ".join([self.names[i] for i in t]).encode())
+        if len(self.chunks) < KEPT_WORDS:
+            self.chunks.update((c, v) for c, v in fresh.items() if len(c) <= KEPT_LENGTH)
+        known.update(fresh)
+        return known
 
     def encode_batch(self, texts: list[bytes | None]) -> list[tuple[bytes, int, bytes]]:
         split = [(t or b"").split() for t in texts]
@@ -216,7 +269,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: Bytes of text encoded at a time.
-AT_ONCE = 8_000_000
+AT_ONCE = 12_000_000
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
