@@ -1,10 +1,68 @@
-"""Corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's docs.
+
+Stages, in order: the quality classifier's rejects go; one document of each group of near copies stays (the smallest doc_id; documents
+without shingles stay); personal data is replaced by its kind in angle brackets (n_chars follows); sources are mixed to their target
+weights, so a document appears as often as it is taken, which may be never; the texts are BPE encoded and decoded. All but the last
+return the columns of documents. Repeated rows, nulls and empty tables have the results that the operators define.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tidemark.llm import bpe, jaccard_join, mixing, pii, quality_classifier
+from tidemark.llm.common import n_words_of, new_path, settled, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.joined(docs.select("doc_id", "text"))
+    # the ids that go are few next to the texts; they are broadcast if they are, else exchanged
+    gone = settled(joined.where("component_id <> doc_id").select("doc_id").distinct())
+    out = docs.join(F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_IDS else gone, "doc_id", "left_anti")
+    return out.select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    df = pii.with_spans(docs.withColumn("_null", F.col("text").isNull()))
+    text = F.when(~F.col("_null"), pii.masked(df))
+    shorter = F.col("n_chars") + F.length(text) - F.length("text")
+    return df.withColumns({"n_chars": F.coalesce(shorter, F.col("n_chars")).cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("dup").alias("_u"), "copies")
+    again = W.partitionBy("doc_id").orderBy(n_words_of(F.col("text")), F.xxhash64("text"), "source")
+    rows = docs.withColumn("_dup", F.row_number().over(again) - 1)
+    out = rows.join(taken, F.expr("doc_id <=> _d AND _dup = _u")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
+
+#: The stages use models, iterations and draws that SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = new_path(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
