@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm import bpe, jaccard_join, mixing, pii, quality_classifier
-from tidemark.llm.common import n_words_of, new_path, settled, table
+from tidemark.llm.common import n_words_of, new_path, settled, small, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +24,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     joined = jaccard_join.joined(docs.select("doc_id", "text"))
     # the ids that go are few next to the texts; they are broadcast if they are, else exchanged
     gone = settled(joined.where("component_id <> doc_id").select("doc_id").distinct())
-    out = docs.join(F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_IDS else gone, "doc_id", "left_anti")
+    out = docs.join(small(gone), "doc_id", "left_anti")
     return out.select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     df = pii.with_spans(docs.withColumn("_null", F.col("text").isNull()))
-    text = F.when(~F.col("_null"), pii.masked(df))
-    shorter = F.col("n_chars") + F.length(text) - F.length("text")
-    return df.withColumns({"n_chars": F.coalesce(shorter, F.col("n_chars")).cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
+    df = df.withColumn("_masked", F.when(~F.col("_null"), pii.masked(df)))
+    n_chars = F.coalesce(F.col("n_chars") + F.length("_masked") - F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    df = df.withColumn("n_chars", n_chars)
+    return df.withColumn("text", F.col("_masked")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
