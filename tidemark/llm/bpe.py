@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import slices, table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries that a worker keeps, about, and their length at most; the most frequent words come first.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 #: Symbols up to which a word is merged by scanning a list.
 SHORT, NEVER = 48, 1 << 60
 #: Printable ASCII is its own byte-level form; the file's splitting rule for it, after lower-casing.
@@ -269,7 +269,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: Bytes of text encoded at a time.
-AT_ONCE = 12_000_000
+AT_ONCE = 3_000_000
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -277,18 +277,12 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         codec = worker_cache(f"bpe {vocabulary}", lambda: Codec(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary)))
-        for batch in batches:
-            start = 0
-            sizes = batch.column("text").nbytes / max(1, batch.num_rows)
-            step = max(1, int(AT_ONCE / max(1.0, sizes)))
-            while start < batch.num_rows:
-                part = batch.slice(start, step)
-                start += step
-                rows = codec.encode_batch(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in slices(batches, AT_ONCE):
+            rows = codec.encode_batch(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -42,11 +43,49 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(key: str, make):
-    """An object kept by this Python worker over its tasks."""
-    kept = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """An object kept by this Python worker over its tasks; another key's object goes, so a worker holds one."""
+    kept = sys.modules.setdefault("tidemark_worker_cache", types.ModuleType("tidemark_worker_cache"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.value = key, None
+        kept.value = make()
+    return kept.value
+
+
+def slices(batches, size: int = 4_000_000):
+    """Record batches in slices of about so many bytes. At the end the worker, which Spark keeps, gives its free memory back."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+    del batches
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done: it does so once the driver has collected their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of a table of a few numbers each that are broadcast (some 10 MB); a larger one is joined by an exchange.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (cheap to count, a few numbers a row), to be broadcast if it has no more than these rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table, worker_cache
+from .common import settled, slices, table, worker_cache
 from .wordhash import KEPT, MIX, mixed
 
 BITS = 18
@@ -75,7 +75,7 @@ class Grams(dict):
 def _count(batches):
     grams, size = worker_cache("grams", Grams), 1 << BITS
     counts, docs = np.zeros((3, size), np.int64), np.zeros(3, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
             b = grams.buckets(text)
             for k in (0,) if good is None else (0, 1 if good else 2):
@@ -127,7 +127,7 @@ def scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             weights, keys = _scored(batch, sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights), pa.array(keys)], names=["doc_id", "log_weight", "key"])
 
@@ -173,7 +173,7 @@ def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(_scored(batch, sent.value)[1] >= cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settled, table, worker_cache
+from .common import settled, slices, small, table, worker_cache
 from .wordhash import WordHashes, mixed, windows
 
 WINDOW = 50
 GRAM = 8
 #: Reference words of a shard, and words of segments streamed through one copy of its automaton, about.
 SHARD_WORDS, STREAM_WORDS = 40_000, 400_000
-#: Rows of small tables that are broadcast; beyond it they are joined by an exchange.
-BROADCAST_ROWS = 100_000
+#: Rows with short lists that are broadcast; beyond it they are joined by an exchange.
+BROADCAST_LISTS = 100_000
 
 
 def sliding_min(g: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +131,7 @@ def _binary(docs: DataFrame) -> DataFrame:
 def _send_anchors(window):
     def run(batches):
         hashes = worker_cache("words", WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             found, ids = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 a = np.unique(anchors(hashes.of((text or b"").split()), window))
@@ -149,7 +149,7 @@ def _send_windows(window):
 
     def run(batches):
         hashes = worker_cache("words", WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             keys, docs, starts = [], [], []
             for doc, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
                 h = hashes.of(text.split())
@@ -177,7 +177,7 @@ def _send_segments(window):
     """shard, doc_id, start, ref, words for each run of windows of a document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words = text.split()
@@ -188,7 +188,7 @@ def _send_segments(window):
 
 
 def _match(window):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         automaton = Automaton()
         refs = pdf[pdf["ref"]]
         for doc, words in zip(refs["doc_id"], refs["words"], strict=True):
@@ -209,7 +209,7 @@ def _match(window):
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = (text or b"").split()
@@ -223,17 +223,12 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): word ranges [low, high) to remove, for the documents that have any."""
     rows = settled(_binary(docs).mapInArrow(_send_anchors(window), "anchor long, doc_id long"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     marked = settled(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    texts = settled(_binary(docs).join(small(marked), "doc_id").dropDuplicates(["doc_id"]))
+    texts = settled(_binary(docs).join(small(marked, BROADCAST_LISTS), "doc_id").dropDuplicates(["doc_id"]))
     sent = texts.mapInArrow(_send_windows(window), "key long, doc_id long, start int, first long, ref boolean")
     w = W.partitionBy("key")
     found = sent.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).withColumn("first", F.coalesce("first", "low"))
@@ -249,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shard = F.pmod(F.xxhash64("first", F.lit("shard")), F.lit(shards))
     load = runs.where("first < doc_id").groupBy(shard.alias("shard")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / STREAM_WORDS)).alias("copies"))
     per = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "s", "e")).alias("runs"))
-    parts = texts.select("doc_id", "text").join(small(settled(per)), "doc_id").mapInArrow(_send_segments(window), "first long, doc_id long, start int, ref boolean, words binary")
+    parts = texts.select("doc_id", "text").join(small(settled(per), BROADCAST_LISTS), "doc_id").mapInArrow(_send_segments(window), "first long, doc_id long, start int, ref boolean, words binary")
     dealt = parts.withColumn("shard", shard).join(load, "shard")
     copy = F.when(F.col("ref"), F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies"))))
     dealt = dealt.select("shard", F.explode(copy).alias("copy"), "doc_id", "start", "ref", "words")
@@ -260,7 +255,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space) for each row of (doc_id, text)."""
     spans = repeated_spans(docs, window)
-    return _binary(docs).join(small(spans), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _binary(docs).join(small(spans, BROADCAST_LISTS), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

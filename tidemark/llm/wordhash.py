@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
