@@ -233,3 +233,42 @@ def test_streamed_damage(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["damage"] for r in spark.table("streamed").collect()] == [60.0]
+
+
+def test_jobs():
+    from tidemark.plans.config import jobs
+
+    assert len(jobs({"a": [1, 2], "b": [1, 2]})) == 4 and len(jobs({"a": [1, 2], "b": [1, 2, 3], "c": [1, 2, 3]})) == 18
+    assert len(jobs({"a": [1, 2], "b": [1, 2, 3], "c": [4, 5, 6]}, ("b", "c"))) == 6
+
+
+def _tiff(values, deflate):
+    """A one-band float32 file with strips of two rows."""
+    import struct
+    import zlib
+
+    h, w = values.shape
+    strips = [values[i : i + 2].astype("<f4").tobytes() for i in range(0, h, 2)]
+    strips = [zlib.compress(s) for s in strips] if deflate else strips
+    n, head = len(strips), 8
+    extra = head + sum(map(len, strips))
+    offsets = [head + sum(map(len, strips[:i])) for i in range(n)]
+    scale, tie, nodata = struct.pack("<3d", 0.5, 0.5, 0), struct.pack("<6d", 0, 0, 0, 10, 20, 0), b"-9\0\0"
+    blob, places = b"", {}
+    for name, data in (("o", struct.pack(f"<{n}I", *offsets)), ("s", struct.pack(f"<{n}I", *map(len, strips))), ("scale", scale), ("tie", tie)):
+        places[name] = extra + len(blob)
+        blob += data
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 32), (259, 3, 1, 8 if deflate else 1), (273, 4, n, places["o"]), (277, 3, 1, 1), (278, 4, 1, 2), (279, 4, n, places["s"]), (339, 3, 1, 3), (33550, 12, 3, places["scale"]), (33922, 12, 6, places["tie"]), (42113, 2, 3, struct.unpack("<I", nodata)[0])]
+    directory = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0" * 4
+    return struct.pack("<2sHI", b"II", 42, extra + len(blob)) + b"".join(strips) + blob + directory
+
+
+@pytest.mark.parametrize("deflate", [False, True])
+def test_geotiff(spark, tmp_path, deflate):
+    values = np.arange(15, dtype=float).reshape(5, 3)
+    values[1, 1] = -9
+    (tmp_path / "g.tif").write_bytes(_tiff(values, deflate))
+    r = rasters.read_raster(spark, str(tmp_path / "g.tif"))
+    assert r.grid == overlay.Grid(10.0, 0.5, 20.0, -0.5, 3, 5)
+    got = {(x["row"], x["col"]): x["value"] for x in r.cells.collect()}
+    assert got == {(i, j): values[i, j] for i in range(5) for j in range(3) if values[i, j] != -9}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import cProfile
 import logging
+import pstats
 import sys
+from pathlib import Path
 
 from . import __version__
 from .plans import checks, geom_model, grid_model
@@ -22,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("config")
     run.add_argument("-t", "--threads", type=int, help="local threads")
     run.add_argument("-d", "--set", action="append", default=[], metavar="KEY=VALUE", help="overrides a setting")
+    run.add_argument("-p", "--profile", action="store_true", help="write profile.txt to the output folder")
     run.add_argument("-q", "--quiet", action="count", default=0)
     run.add_argument("-v", "--verbose", action="count", default=0)
     return p
@@ -35,6 +39,22 @@ def settings(args: argparse.Namespace) -> Config:
     return config
 
 
+def run_models(spark, config: Config) -> None:
+    if any(k.startswith("exposure.geom.file") for k in config):
+        geom_model.run(spark, config)
+    if checks.grid_entries(config):
+        grid_model.run(spark, config)
+
+
+def profiled(work, path: Path) -> None:
+    """Runs the work under the profiler of the driver's Python."""
+    profile = cProfile.Profile()
+    profile.runcall(work)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("w") as f:
+        pstats.Stats(profile, stream=f).sort_stats("cumulative").print_stats(50)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "info":
@@ -47,10 +67,10 @@ def main(argv: list[str] | None = None) -> int:
         config = settings(args)
         builder = SparkSession.builder.appName("tidemark")
         spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
-        if any(k.startswith("exposure.geom.file") for k in config):
-            geom_model.run(spark, config)
-        if checks.grid_entries(config):
-            grid_model.run(spark, config)
+        if args.profile:
+            profiled(lambda: run_models(spark, config), Path(config.output) / "profile.txt")
+        else:
+            run_models(spark, config)
     except (ValueError, OSError) as e:
         log.error("%s", e)
         return 1

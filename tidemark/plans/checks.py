@@ -34,6 +34,20 @@ def has_srs(srs: str | None, name: str) -> None:
         raise DataError(f"{name} has no coordinate system")
 
 
+def global_srs(srs: str | None) -> None:
+    if not srs:
+        raise DataError("the model has no coordinate system")
+
+
+def srs_name(authority: str | None, code: str | int | None, proj4: str | None = None) -> str:
+    """AUTH:CODE, else the PROJ string."""
+    if authority and code:
+        return f"{authority}:{code}"
+    if not proj4:
+        raise DataError("the coordinate system has neither a code nor a definition")
+    return proj4
+
+
 def same_srs(a: str | None, b: str | None) -> bool:
     return bool(a) and a == b
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tomllib
 from pathlib import Path
@@ -58,3 +59,10 @@ class Config(dict):
     def output(self) -> str:
         value = str(self.get("output.path", "output"))
         return value if "://" in value or Path(value).is_absolute() else str(self.root / value)
+
+
+def jobs(arguments: dict[str, list], tied: tuple[str, ...] = ()) -> list[dict]:
+    """All combinations of the arguments; tied ones go in step."""
+    free = [k for k in arguments if k not in tied]
+    steps = [dict(zip(tied, v, strict=True)) for v in zip(*(arguments[k] for k in tied), strict=True)] if tied else [{}]
+    return [dict(zip(free, v, strict=True)) | s for v in itertools.product(*(arguments[k] for k in free)) for s in steps]

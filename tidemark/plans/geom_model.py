@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DataError
 from ..functions.risk import expected_damage_of, risk_weights
 from ..functions.scalars import rounded
 from ..functions.schema import exposure_columns, output_columns
@@ -75,11 +76,20 @@ def with_table(objects: DataFrame, table: DataFrame, index: str = "object_id") -
     return objects.join(table.select(*extra), index), rejects
 
 
+def model_srs(config: Config, hazard_srs: str) -> str:
+    """The hazard grid's system, unless the settings prefer their own."""
+    return str(config.get("model.srs.value", "EPSG:4326")) if config.get("model.srs.prefer_global", False) else hazard_srs
+
+
 def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """The model of a settings file: a table for each exposure file, written to the output folder."""
     kind = hazard_type(str(config.get("hazard.type", "flood")))
     checks.entries(config.keys(), [*MANDATORY, *kind.entries])
     hazard = rasters.read_raster(spark, config.path("hazard.file"), config.get("hazard.srs"))
+    srs = model_srs(config, hazard.grid.srs)
+    checks.global_srs(srs)
+    if not checks.same_srs(srs, hazard.grid.srs):
+        raise DataError(f"the hazard grid is in {hazard.grid.srs}, the model in {srs}; grids aren't reprojected")
     risk = bool(config.get("model.risk", False))
     periods = checks.return_periods([m.get("return_period") for m in hazard.meta], config.get("hazard.return_periods"), config["hazard.file"]) if risk else None
     bands = checks.band_names(hazard.names, risk, periods)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import DriverError
 from ..functions.scalars import without_nodata
 from ..operators.overlay import Grid
+from .geotiff import read_geotiff
 
 
 @dataclass
@@ -39,6 +40,9 @@ def read_raster(spark: SparkSession, path: str, srs: str | None = None) -> Raste
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix in (".asc", ".agr", ".txt"):
         return read_ascii(spark, path, srs or "EPSG:4326")
+    if suffix in (".tif", ".tiff"):
+        cells, grid, n = read_geotiff(spark, path, srs or "EPSG:4326")
+        return Raster(cells, grid, band_names([None] * n, []) if n > 1 else [""], [{}] * n)
     if suffix in (".parquet", ""):
         info = json.loads("".join(r[0] for r in spark.read.text(path.rstrip("/") + ".json").collect()))
         grid = Grid(**info["grid"]) if srs is None else Grid(**info["grid"] | {"srs": srs})

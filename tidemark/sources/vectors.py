@@ -92,6 +92,24 @@ def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> tuple
     return with_envelope(starts.mapInPandas(rows, schema)), f"EPSG:{srs_id}"
 
 
+def layers(path: str) -> list[str]:
+    """Names of a GeoPackage's feature layers."""
+    db = sqlite3.connect(path)
+    try:
+        return [r[0] for r in db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY 1")]
+    finally:
+        db.close()
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """One layer of several, by column names; file_idx tells where a row comes from."""
+    out = None
+    for i, df in enumerate(parts, 1):
+        df = df.withColumn("file_idx", F.lit(i))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def gpkg_wkb(blob: bytes | None) -> bytes | None:
     """The WKB after a GeoPackage header."""
     if blob is None:
