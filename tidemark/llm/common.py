@@ -83,9 +83,15 @@ def release(spark: SparkSession) -> None:
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (cheap to count, a few numbers a row), to be broadcast if it has no more than these rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: The same for the items of a column of lists of a few numbers each.
+BROADCAST_ITEMS = 3_000_000
+
+
+def small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """df (cheap to count; a few numbers a row, and perhaps a column of lists of such), to be broadcast if it has no more rows and items than these."""
+    items = F.lit(0) if lists is None else F.sum(F.size(lists))
+    r = df.agg(F.count(F.lit(1)).alias("rows"), items.alias("items")).first()
+    return F.broadcast(df) if r["rows"] <= BROADCAST_ROWS and (r["items"] or 0) <= BROADCAST_ITEMS else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -9,13 +9,16 @@ k1 one-deletion ones, of which it also sends the part less each one shingle. A p
 least in each exact segment and by two in each one-deletion segment, but for parts that are (nearly) empty, which are not sent. So with
 2 k1 + k0 = H + 1 + slack, where H is the group's largest difference, every linked pair has a common signature if either of its sets
 lost no more than `slack` units to empty parts. Sets that lost more send signatures again under other hash seeds, and after the
-last seed one signature for the group, so no link is missed. k0, k1 and the slack are those of least cost: signatures sent, and sets that need
+last seed one signature for the group, so no link is missed. Under the first seed the universe is without the shingles that many documents
+have (lines and passages in common), as dropping shingles only lowers a difference; sets made of these lose more than the slack and go on. k0, k1 and the slack are those of least cost: signatures sent, and sets that need
 another seed.
 
-Verification. Classes that share a signature are compared by the exact size of their intersection, after an exact filter: the
-difference of their histograms over 32 hash buckets is a lower bound of the symmetric difference. Not all pairs under a signature are
-compared: some rounds compare each class with one member drawn per signature and merge what links; then only pairs that are still
-in different components are compared. Links inside a component don't change component_id.
+Verification. Classes are compared by the exact size of their intersection. Every class is first compared with the one drawn member it
+shares most signatures with, which closes most groups of near copies. Classes that share STRONG signatures or more with a drawn member
+form families, and families that share MERGED signatures one; in a family that is still in several components, blocks of members are compared as products of 0/1 matrices,
+which yields links, not pairs. Pairs across families that share a signature are compared one by one, after an exact filter: the difference
+of histograms over 256 hash buckets is a lower bound of the symmetric difference. Pairs inside a component are skipped: their links don't
+change component_id.
 
 Defined results: null and blank texts have no shingles and are their own component; fewer than five words are one shingle; repeated rows
 are equal sets; rows with a null doc_id have a null component unless linked to others; an empty table gives an empty result; other columns are
@@ -27,12 +30,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settled, table, worker_cache
+from .common import release, settled, slices, small, table, worker_cache
 from .wordhash import MIX, WordHashes, mixed, windows
 
 WORDS = 5
@@ -40,9 +44,11 @@ WORDS = 5
 FACTOR = 9
 RATIO = 1.25
 SEEDS = 3
-HISTOGRAM = 32
-#: Rounds that compare with one drawn member of each signature before the rest is compared.
-ROUNDS = 4
+#: A shingle is common if documents of one slice have it OFTEN times, OFTEN_IN_ALL in sum over such slices; the COMMON most frequent count.
+OFTEN, OFTEN_IN_ALL, COMMON = 3, 20, 300_000
+HISTOGRAM = 256
+#: Signatures shared with a drawn member that make a family, those that join families, and members and shingles of a block of a family, about.
+STRONG, MERGED, BLOCK, BLOCK_SHINGLES = 3, 4, 1000, 400_000
 
 
 def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -85,10 +91,12 @@ def _low(b: int) -> int:
 
 def allocation(group: int) -> tuple[int, int, int, int]:
     """(k0, k1, slack, H) of a group, of least cost."""
-    known = worker_cache("allocations", dict)
-    if group not in known:
-        known[group] = _allocation(group)
-    return known[group]
+    if group not in _ALLOCATIONS:
+        _ALLOCATIONS[group] = _allocation(group)
+    return _ALLOCATIONS[group]
+
+
+_ALLOCATIONS: dict[int, tuple[int, int, int, int]] = {}
 
 
 def _allocation(group: int) -> tuple[int, int, int, int]:
@@ -115,9 +123,12 @@ def _allocation(group: int) -> tuple[int, int, int, int]:
     return best[1]
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set, for the groups it belongs to."""
-    out, b = [], band(len(s))
+def signatures(s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """All signatures of a set, for the groups it belongs to. The first seed's universe is without the common shingles."""
+    out, b, rare = [], band(len(s)), s
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rare = s[common[at] != s]
     for group in (b - 1, b):
         if group < 0 or _low(group + 2) <= _low(group):
             continue
@@ -126,8 +137,9 @@ def signatures(s: np.ndarray) -> np.ndarray:
         if not k:
             continue
         for seed in range(SEEDS):
+            part_of = s if seed else rare
             salt = np.uint64((group * 64 + seed + 1) * int(MIX) & _ALL)
-            h = mixed(s ^ salt)
+            h = mixed(part_of ^ salt)
             part = ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
             value = mixed(h + MIX)
             sums = np.zeros(k, np.uint64)
@@ -149,17 +161,33 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
+    """The set's size and digest for each row; and rows (hi, n_shingles) of shingles that several documents of a slice have, with their number."""
     hashes = worker_cache("words", WordHashes)
-    for batch in batches:
+    for batch in slices(batches):
         got = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
         pairs = [digest(s) if len(s) else (None, None) for s in got]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "n_shingles", "hi", "lo"])
+        ids, sizes, his, los = batch.column("doc_id").to_pylist(), [len(s) for s in got], [p[0] for p in pairs], [p[1] for p in pairs]
+        often, times = np.unique(np.concatenate([*got, np.zeros(0, np.uint64)]), return_counts=True)
+        often, times = often[times >= OFTEN].view(np.int64).tolist(), times[times >= OFTEN].tolist()
+        none = [None] * len(often)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids + none, pa.int64()), pa.array(sizes + times, pa.int64()), pa.array(his + often, pa.int64()), pa.array(los + none, pa.int64()), pa.array([False] * len(ids) + [True] * len(often))],
+            names=["doc_id", "n_shingles", "hi", "lo", "often"],
+        )
+
+
+def _index(common):
+    """(sig, lo), lo naming the class; a batch sends a class only once. common: the sorted shingles that many documents have."""
+
+    def run(batches):
+        yield from _indexed(batches, common.value)
 
+    return run
 
-def _index(batches):
-    """(sig, lo), lo naming the class; a batch sends a class only once."""
+
+def _indexed(batches, common: np.ndarray):
     hashes = worker_cache("words", WordHashes)
-    for batch in batches:
+    for batch in slices(batches):
         seen, sigs, los, pending = set(), [], [], 0
 
         def packed():
@@ -171,7 +199,7 @@ def _index(batches):
             if not len(s) or (d := digest(s)) in seen:
                 continue
             seen.add(d)
-            sigs.append(signatures(s))
+            sigs.append(signatures(s, common))
             los.append(d[1])
             pending += len(sigs[-1])
             if pending > 200_000:
@@ -182,28 +210,70 @@ def _index(batches):
 
 
 def _contents(batches):
+    """c, n, hist, s of the rows whose set is the class named by lo."""
     hashes = worker_cache("words", WordHashes)
-    for batch in batches:
-        got = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-        marks = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=HISTOGRAM).astype(np.int32) for s in got]
-        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([len(s) for s in got], pa.int64()), pa.array([m.tolist() for m in marks], pa.list_(pa.int32())), pa.array([s.view(np.int64).tolist() for s in got], pa.list_(pa.int64()))], names=["c", "n", "hist", "s"])
+    for batch in slices(batches):
+        rows = []
+        for c, lo, text in zip(batch.column("c").to_pylist(), batch.column("lo").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            s = shingles(text, hashes)
+            if len(s) and digest(s)[1] == lo:
+                rows.append((c, s))
+        marks = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM), 127).astype(np.int8) for _, s in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(marks, pa.list_(pa.int8())), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["c", "n", "hist", "s"])
+
+
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components in two blocks of a family: a forest of them for each pair of components."""
+    pdf = pdf.drop_duplicates(["c", "side"])
+    left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right) and pdf["root"].nunique() > 1:
+        ls, rs = left["s"].to_list(), right["s"].to_list()
+        tokens, at = np.unique(np.concatenate([*ls, *rs]), return_inverse=True)
+        ln, rn = np.array([len(x) for x in ls]), np.array([len(x) for x in rs])
+        lo, ro = np.repeat(np.arange(len(ls)), ln), np.repeat(np.arange(len(rs)), rn)
+        la, ra = at[: ln.sum()], at[ln.sum() :]
+        common = np.zeros((len(ls), len(rs)), np.float32)
+        for start in range(0, len(tokens), 8192):  # columns of the matrices, a part at a time
+            x, y = np.zeros((len(ls), 8192), np.float32), np.zeros((len(rs), 8192), np.float32)
+            i, j = (la >= start) & (la < start + 8192), (ra >= start) & (ra < start + 8192)
+            x[lo[i], la[i] - start] = 1
+            y[ro[j], ra[j] - start] = 1
+            common += x @ y.T
+        other = left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+        a, b = np.nonzero(other & (180 * common.astype(np.int64) >= 80 * (ln[:, None] + rn[None, :])))
+        joined: dict[int, int] = {}
+
+        def top(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for u, v, ru, rv in zip(left["c"].to_numpy()[a].tolist(), right["c"].to_numpy()[b].tolist(), left["root"].to_numpy()[a].tolist(), right["root"].to_numpy()[b].tolist(), strict=True):
+            p, q = top(ru), top(rv)
+            if p != q:
+                joined[p] = q
+                out.append((u, v))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _binary(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def may_link(a: str, b: str) -> Column:
-    """Necessary: sizes in ratio, and the histograms' difference within the bound."""
-    return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {FACTOR} * aggregate(zip_with({a}.hist, {b}.hist, (x, y) -> abs(x - y)), 0, (t, x) -> t + x) <= {a}.n + {b}.n")
+SIZES_LINK = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+HISTOGRAMS_LINK = f"{FACTOR} * aggregate(zip_with(ha, hb, (x, y) -> abs(CAST(x AS INT) - CAST(y AS INT))), 0, (t, x) -> t + x) <= na + nb"
 
 
 def verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """The (a, b) that link. Intersection o: 100 o >= 80 (n + m - o)."""
-    left, right = content.select(F.col("c").alias("a"), F.col("s").alias("sa")), content.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b")
+    """The (a, b) that link, after the histograms' filter. Intersection o: 100 o >= 80 (n + m - o)."""
+    mark = lambda k: content.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("hist").alias("h" + k))
+    pairs = settled(pairs.select("a", "b").join(mark("a"), "a").join(mark("b"), "b").where(HISTOGRAMS_LINK).select("a", "b").distinct())
+    # sets are sent only for the pairs left: those of a with each pair, those of b once
+    left = content.select(F.col("c").alias("a"), F.col("s").alias("sa")).join(small(pairs), "a")
+    right = content.select(F.col("c").alias("b"), F.col("s").alias("sb")).join(small(settled(pairs.select("b").distinct())), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return full.where(F.expr("180") * common >= 80 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return left.join(right, "b").where(F.expr("180") * common >= 80 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,60 +294,88 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("root"))
 
 
-def _roots(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """nodes (c, n, hist) with their root."""
-    if links is None:
-        return nodes.withColumn("root", F.col("c"))
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(c) with its root."""
     return nodes.join(components(links), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, hi, lo: the set's size and digest for each row."""
-    return _binary(docs).mapInArrow(_sets, "doc_id long, n_shingles long, hi long, lo long")
+def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n_shingles, hi, lo: the set's size and digest for each row; and the common shingles, sorted, COMMON at most."""
+    both = settled(_binary(docs).mapInArrow(_sets, "doc_id long, n_shingles long, hi long, lo long, often boolean"))
+    counts = both.where("often").groupBy("hi").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= OFTEN_IN_ALL)
+    top = counts.orderBy(F.desc("n"), "hi").limit(COMMON).select("hi").toPandas()["hi"].to_numpy(dtype=np.int64)
+    return both.where("NOT often").drop("often"), np.sort(top.view(np.uint64))
 
 
-def class_links(docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
-    """Links (a, b) between classes, named by their representatives' doc_id; enough of them for the components."""
-    rows = _binary(docs).mapInArrow(_index, "sig long, lo long")
+def shared_signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(sig, lo) of the signatures that several classes have."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    rows = _binary(docs).mapInArrow(_index(sent), "sig long, lo long")
     # one exchange: the classes of a signature lie together, and those that are alone in it end here
     w = W.partitionBy("sig")
-    shared = settled(rows.withColumn("x", F.min("lo").over(w)).withColumn("y", F.max("lo").over(w)).where("x <> y").select("sig", "lo").distinct())
+    return settled(rows.withColumn("x", F.min("lo").over(w)).withColumn("y", F.max("lo").over(w)).where("x <> y").select("sig", "lo").distinct())
+
+
+def merged_families(member: DataFrame, families: DataFrame) -> DataFrame:
+    """(c, fam) after joining families that share MERGED signatures or more with one that comes first in them."""
+    held = member.select("sig", "c").join(small(families), "c").select("sig", "fam").withColumn("f0", F.min("fam").over(W.partitionBy("sig")))
+    ties = held.where("fam <> f0").distinct().groupBy(F.col("fam").alias("a"), F.col("f0").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    to = _roots(families.select(F.col("fam").alias("c")).distinct(), settled(ties.where(F.col("times") >= MERGED).select("a", "b")))
+    return families.join(to.select(F.col("c").alias("fam"), F.col("root").alias("to")), "fam").select("c", F.col("to").alias("fam"))
+
+
+def family_links(content: DataFrame, families: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links inside the families (c, fam) that are in several components."""
+    held = families.join(roots, "c").join(content.select("c", "n"), "c")
+    sizes = held.groupBy("fam").agg(F.countDistinct("root").alias("k"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("t")).where("k > 1")
+    blocks = sizes.select("fam", F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("t") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = families.join(blocks, "fam").join(roots, "c").withColumn("me", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    # a member goes to each pair of blocks that holds its own, as left (0), right (1), or both where the blocks are one (2)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("me", o).alias("i"), F.greatest("me", o).alias("j"), F.when(o == F.col("me"), 2).when(F.col("me") < o, 0).otherwise(1).alias("side")))
+    dealt = placed.select("c", "fam", "root", F.explode(pair).alias("p")).select("c", "fam", "root", "p.*")
+    return content.select("c", "s").join(small(settled(dealt)), "c").groupBy("fam", "i", "j").applyInPandas(_product, "a long, b long")
+
+
+def class_links(docs: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame | None:
+    """Links (a, b) between classes, named by their representatives' doc_id; enough of them for the components."""
+    shared = shared_signatures(docs, common)
+    release(docs.sparkSession)
     firsts = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("c")).where("c IS NOT NULL")
     # half of the digest names a class in the index: should two classes share it, both are members
     reps = settled(firsts.join(shared.select("lo").distinct(), "lo", "left_semi").select("lo", "c"))
-    n_reps = reps.count()
-    if not n_reps:
+    if reps.isEmpty():
         return None
-    ids = reps.select(F.col("c").alias("doc_id"))
-    texts = _binary(docs).join(F.broadcast(ids) if n_reps <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("c"), "text")
-    content = settled(texts.mapInArrow(_contents, "c long, n long, hist array<int>, s array<long>"))
-    nodes = content.select("c", "n", "hist")
-    member = settled(shared.join(reps, "lo").select("sig", "c"))
-    links, roots = None, settled(_roots(nodes, None))
-    for k in range(rounds + 1):
-        known = member.join(roots, "c")
-        open_ = known.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("c", "n", "hist", "root"), F.xxhash64("c", F.lit(k))).alias("m")).where("r0 <> r1")
-        if k < rounds:
-            x, y = known.alias("x"), open_.select("sig", "m.*").alias("y")
-        else:
-            x, y = known.join(open_.select("sig"), "sig", "left_semi").alias("x"), known.join(open_.select("sig"), "sig", "left_semi").alias("y")
-        order = F.lit(True) if k < rounds else F.expr("x.c < y.c")
-        pairs = x.join(y, F.expr("x.sig = y.sig AND x.root <> y.root") & order & may_link("x", "y")).select(F.expr("least(x.c, y.c)").alias("a"), F.expr("greatest(x.c, y.c)").alias("b")).distinct()
-        found = settled(verified(settled(pairs), content))
-        links = found if links is None else links.union(found)
-        if k < rounds:
-            roots = settled(_roots(nodes, links))
-    return settled(links)
-
-
-#: Most representatives' ids broadcast (16 bytes each); beyond it they are joined by an exchange.
-BROADCAST_IDS = 200_000
+    ids = reps.select(F.col("c").alias("doc_id"), "lo")
+    texts = _binary(docs).join(small(ids), "doc_id").select(F.col("doc_id").alias("c"), "lo", "text")
+    content = settled(texts.mapInArrow(_contents, "c long, n long, hist array<tinyint>, s array<long>"))
+    nodes = settled(content.select("c", "n").distinct())
+    named = settled(reps.join(nodes, "c"))
+    member = settled(shared.join(small(named), "lo").select("sig", "c", "n"))
+    drawn = F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).over(W.partitionBy("sig"))
+    met = member.withColumn("m", drawn).where("m.c <> c AND 5 * least(n, m.n) >= 4 * greatest(n, m.n)").groupBy("c", F.col("m.c").alias("m")).agg(F.count(F.lit(1)).alias("times"))
+    met = settled(met.where(F.col("times") >= STRONG))
+    best = met.groupBy("c").agg(F.max_by("m", F.struct("times", "m")).alias("m")).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
+    links = settled(verified(best, content))
+    release(docs.sparkSession)
+    roots = settled(_roots(nodes.select("c"), links))
+    families = settled(_roots(nodes.select("c"), met.select(F.col("c").alias("a"), F.col("m").alias("b"))).withColumnRenamed("root", "fam"))
+    families = settled(merged_families(member, families))
+    links = settled(links.union(family_links(content, families, roots)))
+    release(docs.sparkSession)
+    roots = _roots(nodes.select("c"), links).withColumnRenamed("root", "r")
+    known = settled(roots.join(families, "c"))
+    w = W.partitionBy("sig")
+    among = {"r0": F.min("r").over(w), "r1": F.max("r").over(w), "f0": F.min("fam").over(w), "f1": F.max("fam").over(w)}
+    rest = settled(member.join(small(known), "c").withColumns(among).where("r0 <> r1 AND f0 <> f1").drop(*among))
+    both = rest.alias("x").join(rest.alias("y"), F.expr(f"x.sig = y.sig AND x.c < y.c AND x.r <> y.r AND x.fam <> y.fam AND {SIZES_LINK}"))
+    pairs = both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    return settled(links.union(verified(pairs, content)))
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of (doc_id, text)."""
-    sets = settled(classes(docs))
-    links = class_links(docs, sets)
+    sets, common = classes(docs)
+    links = class_links(docs, sets, common)
     first = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("c"))
     if links is not None:
         # the smallest representative of a component is its smallest document
