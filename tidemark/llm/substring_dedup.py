@@ -35,8 +35,6 @@ WINDOW = 50
 GRAM = 8
 #: Reference words of a shard, and words of segments streamed through one copy of its automaton, about.
 SHARD_WORDS, STREAM_WORDS = 40_000, 400_000
-#: Rows with short lists that are broadcast; beyond it they are joined by an exchange.
-BROADCAST_LISTS = 100_000
 
 
 def sliding_min(g: np.ndarray, n: int) -> np.ndarray:
@@ -228,7 +226,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = settled(_binary(docs).mapInArrow(_send_anchors(window), "anchor long, doc_id long"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     marked = settled(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    texts = settled(_binary(docs).join(small(marked, BROADCAST_LISTS), "doc_id").dropDuplicates(["doc_id"]))
+    texts = settled(_binary(docs).join(small(marked, "anchors"), "doc_id").dropDuplicates(["doc_id"]))
     sent = texts.mapInArrow(_send_windows(window), "key long, doc_id long, start int, first long, ref boolean")
     w = W.partitionBy("key")
     found = sent.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).withColumn("first", F.coalesce("first", "low"))
@@ -244,7 +242,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shard = F.pmod(F.xxhash64("first", F.lit("shard")), F.lit(shards))
     load = runs.where("first < doc_id").groupBy(shard.alias("shard")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / STREAM_WORDS)).alias("copies"))
     per = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "s", "e")).alias("runs"))
-    parts = texts.select("doc_id", "text").join(small(settled(per), BROADCAST_LISTS), "doc_id").mapInArrow(_send_segments(window), "first long, doc_id long, start int, ref boolean, words binary")
+    parts = texts.select("doc_id", "text").join(small(settled(per), "runs"), "doc_id").mapInArrow(_send_segments(window), "first long, doc_id long, start int, ref boolean, words binary")
     dealt = parts.withColumn("shard", shard).join(load, "shard")
     copy = F.when(F.col("ref"), F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies"))))
     dealt = dealt.select("shard", F.explode(copy).alias("copy"), "doc_id", "start", "ref", "words")
@@ -255,7 +253,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space) for each row of (doc_id, text)."""
     spans = repeated_spans(docs, window)
-    return _binary(docs).join(small(spans, BROADCAST_LISTS), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _binary(docs).join(small(spans, "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
