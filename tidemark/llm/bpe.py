@@ -29,7 +29,7 @@ from .common import slices, table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries that a worker keeps, about, and their length at most; the most frequent words come first.
-KEPT_WORDS, KEPT_LENGTH = 100_000, 64
+KEPT_WORDS, KEPT_LENGTH = 220_000, 64
 #: Symbols up to which a word is merged by scanning a list.
 SHORT, NEVER = 48, 1 << 60
 #: Printable ASCII is its own byte-level form; the file's splitting rule for it, after lower-casing.
@@ -269,7 +269,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: Bytes of text encoded at a time.
-AT_ONCE = 3_000_000
+AT_ONCE = 6_000_000
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
