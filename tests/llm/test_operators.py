@@ -342,6 +342,19 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.resampled(empty, none).count() == 0
 
 
+def test_classifier_length_does_not_reject(spark):
+    """Clean texts of 20,000 different words keep log weight 0: no gram of theirs shares the weight of a flagged one."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstvw", k=9))
+    clean, vile = [word() for _ in range(300)], ["".join(rng.choices("aeiou", k=9)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(clean, k=60) + rng.sample(vile, 12) * (i % 5 == 0))) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    long = [(1000 + 10 * k + j, " ".join(word() for _ in range(n))) for k, n in enumerate((200, 2000, 20_000)) for j in range(10)]
+    got = {r["doc_id"]: r["log_weight"] for r in quality_classifier.resampled(spark.createDataFrame(rows + long, "doc_id long, text string"), labels).collect()}
+    assert [got[i] for i, _ in long] == [0.0] * len(long)
+    assert all((got[i] < 0) == (i % 5 == 0) for i, _ in rows)
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000])
 def test_kth(spark, k):
     rng = np.random.default_rng(2)

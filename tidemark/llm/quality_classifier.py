@@ -2,16 +2,18 @@
 
 Two hashed n-gram models are counted: the target text (labelled documents of good quality that aren't toxic) and the raw text (all
 documents). An n-gram here is a word, a pair of neighbouring words, or the outline of a word (its classes of characters), each counted once
-for a document, in one of 2^18 buckets. A document's log weight is the sum of log(target share / raw share) over its buckets; shares are
-smoothed, and buckets whose ratio is not far below one, or not backed by the labelled rejects, count as ratio one (truncated importance
-weights: much clean text does not buy off a toxic passage). Documents are resampled by Gumbel top-k: to the log weight goes Gumbel noise
+for a document, under its own 64-bit hash. A document's log weight is the sum of log(target share / raw share) over its grams; shares are
+smoothed, and grams whose ratio is not far below one, or not backed by the labelled rejects, count as ratio one (truncated importance
+weights: much clean text does not buy off a toxic passage). So only grams that the labelled rejects back can weigh: they are found among
+the labelled rows first, and these alone are counted in all documents. No other gram shares their weight, however long a text is. Documents are resampled by Gumbel top-k: to the log weight goes Gumbel noise
 from a hash of doc_id, and the k largest keys are kept, where k is the number of documents whose log weight is above the margin.
 
 The labelled rows are a sample by hash, at most LABELLED of them in expectation; raw counts, k and the cutoff cover all documents.
 
 Defined results: null and blank texts have log weight 0; a null doc_id has the noise of id 0; rows with equal keys at the cutoff are all
 kept; a document with several labels counts as target only if all are good; without labels nothing is rejected; an empty table gives an
-empty result; other columns are ignored. Vectors of bucket counts are summed by Spark; 2^18 numbers come to the driver whatever the input.
+empty result; other columns are ignored. Counts are summed by Spark; to the driver come those of grams that several labelled rejects have,
+which the size of the labelled sample bounds.
 """
 
 from __future__ import annotations
@@ -20,32 +22,39 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settled, slices, table, worker_cache
 from .wordhash import KEPT, MIX, mixed
 
-BITS = 18
 #: Most labelled rows used, about.
 LABELLED = 20_000
 SMOOTH, LEAST_LOG, LEAST_Z, LEAST_BAD, MARGIN = 0.5, -2.0, 5.0, 5, -3.0
+#: Each byte as its class of characters, or as itself.
+CLASSES = re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[0-9]", b"0", bytes(range(256)))))
 STRIPPED = b".,;:!?\"()[]{}*#$%&|<>'"
 
 
 class Grams(dict):
-    """word -> index of its row in the arrays of hashes and outline buckets."""
+    """word -> index of its row in the arrays of hashes and outline hashes."""
 
     def __init__(self):
-        self.hashes, self.outlines = np.zeros(KEPT + 1, np.uint64), np.zeros(KEPT + 1, np.int64)
+        self.hashes, self.outlines = np.zeros(KEPT + 1, np.uint64), np.zeros(KEPT + 1, np.uint64)
         self.seldom: list[tuple[int, int]] = []
+        self.shapes: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        outline = re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"0", word[:64])))
-        outline = re.sub(rb"(.)\1+", rb"\1\1", outline)[:12]
-        pair = xxhash.xxh3_64_intdigest(word.lower().strip(STRIPPED)), xxhash.xxh3_64_intdigest(b"outline " + outline) >> (64 - BITS)
+        shape = word[:64].translate(CLASSES)
+        outline = self.shapes.get(shape)
+        if outline is None:
+            outline = xxhash.xxh3_64_intdigest(b"outline " + re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"([aA0])\1+", rb"\1", shape))[:12])
+            if len(self.shapes) < KEPT // 10:
+                self.shapes[shape] = outline
+        pair = xxhash.xxh3_64_intdigest(word.lower().strip(STRIPPED)), outline
         i = len(self)
         if i < KEPT:
             self[word] = i
@@ -54,39 +63,73 @@ class Grams(dict):
         self.seldom.append(pair)
         return -len(self.seldom)
 
-    def buckets(self, text: bytes | None) -> np.ndarray:
-        """Distinct buckets of a text."""
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of a text's grams, some more than once."""
         words = (text or b"").split()
         if not words:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         self.seldom.clear()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         h, o = self.hashes[at], self.outlines[at]
         if self.seldom:
             low = at < 0
-            more = np.array([self.seldom[-i - 1][0] for i in at[low]], dtype=np.uint64)
-            h[low], o[low] = more, [self.seldom[-i - 1][1] for i in at[low]]
-        shift = np.uint64(64 - BITS)
-        pairs = mixed(h[:-1] * MIX + h[1:]) >> shift
-        repeats = np.array([1] if 5 * int((h[1:] == h[:-1]).sum()) > len(h) else [], dtype=np.int64)
-        return np.unique(np.concatenate([(mixed(h) >> shift).astype(np.int64), pairs.astype(np.int64), o, repeats]))
+            more = np.array([self.seldom[-i - 1] for i in at[low]], dtype=np.uint64)
+            h[low], o[low] = more[:, 0], more[:, 1]
+        pairs = mixed(h[:-1] * MIX + h[1:])
+        repeats = np.array([1] if 5 * int((h[1:] == h[:-1]).sum()) > len(h) else [], dtype=np.uint64)
+        return np.concatenate([mixed(h), pairs, o, repeats])
 
 
-def _count(batches):
-    grams, size = worker_cache("grams", Grams), 1 << BITS
-    counts, docs = np.zeros((3, size), np.int64), np.zeros(3, np.int64)
+class Model:
+    """Grams by their sorted hashes, and the log ratio of each."""
+
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray):
+        self.hashes, self.ratios = hashes, ratios
+        self.leading = np.zeros(1 << 16, bool)
+        self.leading[(hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        """Distinct places in hashes of those of the grams that are there."""
+        grams = grams[self.leading[(grams >> np.uint64(48)).astype(np.int64)]]
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        return np.unique(at[self.hashes[at] == grams])
+
+    def weight(self, grams: np.ndarray) -> float:
+        return self.ratios[self.among(grams)].sum()
+
+
+def _count_labelled(batches):
+    """gram, target, bad; the row of a null gram counts the documents."""
+    grams = worker_cache("grams", Grams)
     for batch in slices(batches):
+        found, docs = [[], []], [0, 0]
         for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
-            b = grams.buckets(text)
-            for k in (0,) if good is None else (0, 1 if good else 2):
-                counts[k][b] += 1
-                docs[k] += 1
-    used = np.flatnonzero(counts[0])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], used]))] + [pa.array(np.concatenate([[docs[k]], counts[k][used]])) for k in range(3)], names=["bucket", "raw", "target", "bad"])
+            found[not good].append(np.unique(grams.of(text)))
+            docs[not good] += 1
+        used, place = np.unique(np.concatenate(found[0] + found[1]), return_inverse=True)
+        first = sum(map(len, found[0]))
+        counts = [np.bincount(place[:first], minlength=len(used)), np.bincount(place[first:], minlength=len(used))]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(used.view(np.int64))])] + [pa.array(np.r_[docs[k], counts[k]]) for k in range(2)], names=["gram", "target", "bad"])
+
+
+def _count_raw(sent):
+    """at, raw for the grams of a model; place -1 counts the documents."""
+
+    def run(batches):
+        grams, model = worker_cache("grams", Grams), sent.value
+        counts, docs = np.zeros(len(model.hashes), np.int64), 0
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                counts[model.among(grams.of(text))] += 1
+            docs += batch.num_rows
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[docs, counts[used]])], names=["at", "raw"])
+
+    return run
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_target: int, n_bad: int) -> np.ndarray:
-    """Log ratio for each bucket; zero where it isn't surely far below one."""
+    """Log ratio for each gram; zero where it isn't surely far below one."""
     if not n_target or not n_bad or not n_raw:
         return np.zeros(len(raw), np.float64)
     ratio = np.log((target + SMOOTH) / (raw * (n_target / n_raw) + SMOOTH))
@@ -95,19 +138,28 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int,
     return np.where((ratio < LEAST_LOG) & (z > LEAST_Z) & (bad >= LEAST_BAD), ratio, 0.0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:
-    """Log ratios of the buckets."""
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """The grams with a log ratio below zero."""
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("good"))
     share = min(1.0, labelled / max(1, labels.count()))
     sample = one.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    counts = joined.select("text", "good").mapInArrow(_count, "bucket long, raw long, target long, bad long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "bad")]).toPandas()
-    size = 1 << BITS
-    dense = {c: np.zeros(size, np.int64) for c in ("raw", "target", "bad")}
-    totals, rows = counts[counts["bucket"] < 0].sum(), counts[counts["bucket"] >= 0]
-    for c, values in dense.items():
-        values[rows["bucket"].to_numpy()] = rows[c].to_numpy()
-    return log_ratios(dense["raw"], dense["target"], dense["bad"], int(totals["raw"]), int(totals["target"]), int(totals["bad"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    counts = texts.join(F.broadcast(sample), "doc_id").select("text", "good").mapInArrow(_count_labelled, "gram long, target long, bad long")
+    counts = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("bad").alias("bad")).where(f"gram IS NULL OR bad >= {LEAST_BAD}").toArrow()
+    known = pc.is_valid(counts["gram"])
+    n_target, n_bad = (pc.sum(counts.filter(pc.invert(known))[c]).as_py() or 0 for c in ("target", "bad"))
+    hashes, target, bad = (counts.filter(known)[c].to_numpy() for c in ("gram", "target", "bad"))
+    # with a raw count of every document the ratio is as low as it can be: what isn't flagged then never is
+    order = np.argsort(hashes.view(np.uint64))
+    hashes, target, bad = hashes.view(np.uint64)[order], target[order], bad[order]
+    backed = log_ratios(np.full(len(hashes), 1 << 60), target, bad, 1, n_target, n_bad) < 0
+    hashes, target, bad = hashes[backed], target[backed], bad[backed]
+    sent = docs.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(len(hashes))))
+    counts = texts.select("text").mapInArrow(_count_raw(sent), "at long, raw long").groupBy("at").agg(F.sum("raw").alias("raw")).toPandas()
+    raw, rows = np.zeros(len(hashes), np.int64), counts[counts["at"] >= 0]
+    raw[rows["at"].to_numpy()] = rows["raw"].to_numpy()
+    ratios = log_ratios(raw, target, bad, int(counts["raw"][counts["at"] < 0].sum()), n_target, n_bad)
+    return Model(hashes[ratios < 0], ratios[ratios < 0])
 
 
 def _keys(doc_ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -115,16 +167,16 @@ def _keys(doc_ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return weights - np.log(-np.log(u))
 
 
-def _scored(batch: pa.RecordBatch, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scored(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
     grams = worker_cache("grams", Grams)
-    weights = np.array([ratios[grams.buckets(t)].sum() for t in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.float64)
+    weights = np.array([model.weight(grams.of(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.float64)
     ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
     return weights, _keys(ids, weights)
 
 
-def scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, log_weight, key for each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in slices(batches):
@@ -168,9 +220,9 @@ def resampled(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> D
 
 def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Keys are computed again in the filtering scan, so that no text is exchanged."""
-    ratios = fitted(docs, labels, labelled)
-    cut = cutoff(settled(scores(docs, ratios)))
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    model = fitted(docs, labels, labelled)
+    cut = cutoff(settled(scores(docs, model)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in slices(batches):
