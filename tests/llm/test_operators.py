@@ -75,6 +75,12 @@ def test_url_distrust_goes_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_url_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://bad.org/es/1", ""), (1, "http://h1.fr/", '<a href="http://bad.org/">')] + [(i, f"http://h{i}.fr/", f'<a href="http://h{i - 1}.fr/">') for i in range(2, 31)]
+    got = {r["page_id"]: r["verdict"] for r in url_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(31), "block")
+
+
 # --- 2
 
 

@@ -3,7 +3,8 @@
 Trusted seeds are the hosts with pages under an allow rule, blocked seeds those with pages under a block rule, each weighted by these
 pages. Personalised PageRank carries trust along links and distrust against them (a host that links to blocked hosts is suspect). Edges
 are the hyperlinks between hosts in the pages' html, and both ways between a host and its parent domain if that is a host too. Scores are
-integers (parts of 10^12, each share rounded down), so the result does not depend on the order of sums. A host is blocked if its
+integers (parts of 10^12, each share rounded down), so the result does not depend on the order of sums. They start at what the seeds give
+each round; from there no score ever falls, so rounds go on until the sum stays the same, when every score is at rest. A host is blocked if its
 distrust is above its trust; this decides for the pages of the host that no rule fits.
 
 Defined results: a null url, or one without `://`, has empty host and path, is outside the graph and allowed; repeated rows each get
@@ -28,7 +29,10 @@ RULES = [
 ]
 SCALE = 10**12
 DAMPING = 85  # per cent
+#: Rounds of the SQL; enough for the test pages, which link only within their hosts, but not for graphs with longer ways.
 ROUNDS = 6
+#: Rounds between two looks at the sum.
+AT_ONCE = 6
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s<>]+)"
 
 
@@ -62,22 +66,26 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.union(up).union(up.select("dst", "src")).distinct()
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, kind, score) after the rounds; seeds: (host, kind, seed), edges: (src, dst). Trust goes from src to dst, distrust back."""
+def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(host, kind, score) at rest; seeds: (host, kind, seed), edges: (src, dst). Trust goes from src to dst, distrust back."""
     steps = edges.select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"))
     steps = steps.union(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
     degrees = steps.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
     steps = settled(steps.join(degrees, ["kind", "host"]))
-    score, base = seeds.select("kind", "host", F.col("seed").alias("score")), seeds.select("kind", "host", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("score"))
-    for n in range(rounds):
-        given = steps.join(score, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"score * {DAMPING} DIV 100 DIV degree").alias("score"))
-        score = base.union(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if n % 3 == 2:
-            score = settled(score)
-    return score
-
-
-def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+    base = seeds.select("kind", "host", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("score"))
+    score, before = base, None
+    while True:
+        for _ in range(AT_ONCE):
+            given = steps.join(score, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"score * {DAMPING} DIV 100 DIV degree").alias("score"))
+            score = base.union(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = settled(score)
+        now = score.agg(F.sum("score").alias("s")).first()["s"] or 0
+        if now == before:
+            return score
+        before = now
+
+
+def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of (page_id, url, html)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -88,7 +96,7 @@ def judged(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     count = hosts.select("host", F.explode(F.create_map(F.lit("t"), F.col("t"), F.lit("d"), F.col("d"))).alias("kind", "n")).where("n > 0")
     share = F.when(F.col("kind") == "t", F.expr(f"CAST(CAST(n AS DECIMAL(20)) * {SCALE} DIV {total['t'] or 1} AS BIGINT)")).otherwise(F.expr(f"CAST(CAST(n AS DECIMAL(20)) * {SCALE} DIV {total['d'] or 1} AS BIGINT)"))
     seeds = settled(count.select("kind", "host", share.alias("seed")))
-    score = spread(seeds, host_edges(cut.select("host", "html"), hosts.select("host")), rounds)
+    score = spread(seeds, host_edges(cut.select("host", "html"), hosts.select("host")))
     blocked = score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "d", F.col("score")).otherwise(-F.col("score"))).alias("excess")).where("excess > 0").select("host", F.lit(True).alias("bad"))
     out = ruled.join(blocked, "host", "left")
     verdict = F.coalesce("ruled", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
