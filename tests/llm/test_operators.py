@@ -361,6 +361,16 @@ def test_classifier_length_does_not_reject(spark):
     assert all((got[i] < 0) == (i % 5 == 0) for i, _ in rows)
 
 
+def test_classifier_one_weak_feature_rejects(spark):
+    """A word of log weight between -3 and -2 is enough where the labelled rows say so."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices([f"c{k}" for k in range(300)], k=60) + ["m7"] * (i % 5 == 0 or i % 60 == 1))) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert -3 < np.median([got[i]["log_weight"] for i in range(0, 900, 5)]) < -2
+    assert np.mean([got[i]["kept"] for i in got if i % 5 == 0]) < 0.4 and np.mean([got[i]["kept"] for i in got if i % 5]) > 0.88
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 999, 1000])
 def test_kth(spark, k):
     rng = np.random.default_rng(2)

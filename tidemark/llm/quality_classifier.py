@@ -7,11 +7,14 @@ smoothed, and grams whose ratio is not far below one, or not backed by the label
 weights: much clean text does not buy off a toxic passage). So only grams that the labelled rejects back can weigh: they are found among
 the labelled rows first, and these alone are counted in all documents. No other gram shares their weight, however long a text is. Documents are resampled by Gumbel top-k: to the log weight goes Gumbel noise
 from a hash of doc_id, and the k largest keys are kept, where k is the number of documents whose log weight is above the margin.
+The margin is set by a quarter of the labelled rows, weighed by models counted without them: it leaves the largest share of their rejects
+below it, less the share of their good documents. The models that weigh all documents then count all labelled rows.
 
 The labelled rows are a sample by hash, at most LABELLED of them in expectation; raw counts, k and the cutoff cover all documents.
 
 Defined results: null and blank texts have log weight 0; a null doc_id has the noise of id 0; rows with equal keys at the cutoff are all
-kept; a document with several labels counts as target only if all are good; without labels nothing is rejected; an empty table gives an
+kept; a document with several labels counts as target only if all are good; without labels, or if no
+margin separates the held-out ones, nothing is rejected; an empty table gives an
 empty result; other columns are ignored. Counts are summed by Spark; to the driver come those of grams that several labelled rejects have,
 which the size of the labelled sample bounds.
 """
@@ -31,7 +34,10 @@ from .wordhash import KEPT, MIX, mixed
 
 #: Most labelled rows used, about.
 LABELLED = 20_000
-SMOOTH, LEAST_LOG, LEAST_Z, LEAST_BAD, MARGIN = 0.5, -2.0, 5.0, 5, -3.0
+#: One in so many labelled rows is held out of the models that set the margin.
+HELD = 4
+SMOOTH, LEAST_LOG, LEAST_Z, LEAST_BAD = 0.5, -2.0, 5.0, 5
+COUNTS = ["target", "bad", "held_target", "held_bad"]
 #: Each byte as its class of characters, or as itself.
 CLASSES = re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[0-9]", b"0", bytes(range(256)))))
 STRIPPED = b".,;:!?\"()[]{}*#$%&|<>'"
@@ -81,10 +87,10 @@ class Grams(dict):
 
 
 class Model:
-    """Grams by their sorted hashes, and the log ratio of each."""
+    """Grams by their sorted hashes, the log ratio of each, and the margin of log weights."""
 
-    def __init__(self, hashes: np.ndarray, ratios: np.ndarray):
-        self.hashes, self.ratios = hashes, ratios
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray, margin: float = -np.inf):
+        self.hashes, self.ratios, self.margin = hashes, ratios, margin
         self.leading = np.zeros(1 << 16, bool)
         self.leading[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
@@ -99,17 +105,18 @@ class Model:
 
 
 def _count_labelled(batches):
-    """gram, target, bad; the row of a null gram counts the documents."""
+    """gram, then target and bad of the rows to fit by and of those held out; the row of a null gram counts the documents."""
     grams = worker_cache("grams", Grams)
     for batch in slices(batches):
-        found, docs = [[], []], [0, 0]
-        for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
-            found[not good].append(np.unique(grams.of(text)))
-            docs[not good] += 1
-        used, place = np.unique(np.concatenate(found[0] + found[1]), return_inverse=True)
-        first = sum(map(len, found[0]))
-        counts = [np.bincount(place[:first], minlength=len(used)), np.bincount(place[first:], minlength=len(used))]
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(used.view(np.int64))])] + [pa.array(np.r_[docs[k], counts[k]]) for k in range(2)], names=["gram", "target", "bad"])
+        found, docs = [[], [], [], []], [0, 0, 0, 0]
+        for text, good, held in zip(*(batch.column(c).to_pylist() for c in ("text", "good", "held")), strict=True):
+            k = (not good) + 2 * held
+            found[k].append(np.unique(grams.of(text)))
+            docs[k] += 1
+        used, place = np.unique(np.concatenate(sum(found, [])), return_inverse=True)
+        ends = np.cumsum([sum(map(len, f)) for f in found])
+        counts = [np.bincount(part, minlength=len(used)) for part in np.split(place, ends[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(used.view(np.int64))])] + [pa.array(np.r_[docs[k], counts[k]]) for k in range(4)], names=["gram", *COUNTS])
 
 
 def _count_raw(sent):
@@ -128,6 +135,28 @@ def _count_raw(sent):
     return run
 
 
+def _weigh_labelled(sent):
+    """good, log_weight of each row."""
+
+    def run(batches):
+        grams = worker_cache("grams", Grams)
+        for batch in slices(batches):
+            weights = [sent.value.weight(grams.of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(weights, pa.float64())], names=["good", "log_weight"])
+
+    return run
+
+
+def separating(good: np.ndarray, bad: np.ndarray) -> float:
+    """The log weight, midway between two that occur, with the largest share of bad below it less that of good; minus infinity if none has more bad."""
+    levels = np.unique(np.concatenate([good, bad]))
+    if not len(good) or not len(bad) or len(levels) < 2:
+        return -np.inf
+    cuts = (levels[1:] + levels[:-1]) / 2
+    gain = np.searchsorted(np.sort(bad), cuts) / len(bad) - np.searchsorted(np.sort(good), cuts) / len(good)
+    return float(cuts[gain.argmax()]) if gain.max() > 0 else -np.inf
+
+
 def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_target: int, n_bad: int) -> np.ndarray:
     """Log ratio for each gram; zero where it isn't surely far below one."""
     if not n_target or not n_bad or not n_raw:
@@ -139,27 +168,33 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int,
 
 
 def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
-    """The grams with a log ratio below zero."""
+    """The grams with a log ratio below zero, and the margin."""
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("good"))
     share = min(1.0, labelled / max(1, labels.count()))
     sample = one.where(F.pmod(F.xxhash64("doc_id", F.lit("labelled")), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counts = texts.join(F.broadcast(sample), "doc_id").select("text", "good").mapInArrow(_count_labelled, "gram long, target long, bad long")
-    counts = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("bad").alias("bad")).where(f"gram IS NULL OR bad >= {LEAST_BAD}").toArrow()
+    joined = texts.join(F.broadcast(sample), "doc_id").select("text", "good", (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
+    counts = joined.mapInArrow(_count_labelled, ", ".join(f"{c} long" for c in ("gram", *COUNTS)))
+    counts = counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS]).where(f"gram IS NULL OR bad + held_bad >= {LEAST_BAD}").toArrow()
     known = pc.is_valid(counts["gram"])
-    n_target, n_bad = (pc.sum(counts.filter(pc.invert(known))[c]).as_py() or 0 for c in ("target", "bad"))
-    hashes, target, bad = (counts.filter(known)[c].to_numpy() for c in ("gram", "target", "bad"))
+    docs_of = np.array([pc.sum(counts.filter(pc.invert(known))[c]).as_py() or 0 for c in COUNTS])
+    hashes = counts.filter(known)["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, of = hashes[order], np.array([counts.filter(known)[c].to_numpy()[order] for c in COUNTS])
+    # without and with the rows held out
+    of, docs_of = (of[:2], of[:2] + of[2:]), (docs_of[:2], docs_of[:2] + docs_of[2:])
     # with a raw count of every document the ratio is as low as it can be: what isn't flagged then never is
-    order = np.argsort(hashes.view(np.uint64))
-    hashes, target, bad = hashes.view(np.uint64)[order], target[order], bad[order]
-    backed = log_ratios(np.full(len(hashes), 1 << 60), target, bad, 1, n_target, n_bad) < 0
-    hashes, target, bad = hashes[backed], target[backed], bad[backed]
+    backed = np.any([log_ratios(np.full(len(hashes), 1 << 60), *of[k], 1, *docs_of[k]) < 0 for k in range(2)], axis=0)
+    hashes, of = hashes[backed], [x[:, backed] for x in of]
     sent = docs.sparkSession.sparkContext.broadcast(Model(hashes, np.zeros(len(hashes))))
     counts = texts.select("text").mapInArrow(_count_raw(sent), "at long, raw long").groupBy("at").agg(F.sum("raw").alias("raw")).toPandas()
     raw, rows = np.zeros(len(hashes), np.int64), counts[counts["at"] >= 0]
     raw[rows["at"].to_numpy()] = rows["raw"].to_numpy()
-    ratios = log_ratios(raw, target, bad, int(counts["raw"][counts["at"] < 0].sum()), n_target, n_bad)
-    return Model(hashes[ratios < 0], ratios[ratios < 0])
+    n_raw = int(counts["raw"][counts["at"] < 0].sum())
+    part, model = (Model(hashes[r < 0], r[r < 0]) for r in (log_ratios(raw, *of[k], n_raw, *docs_of[k]) for k in range(2)))
+    held = joined.where("held").mapInArrow(_weigh_labelled(docs.sparkSession.sparkContext.broadcast(part)), "good boolean, log_weight double").toPandas()
+    good, weights = held["good"].to_numpy(bool), held["log_weight"].to_numpy(float)
+    return Model(model.hashes, model.ratios, separating(weights[good], weights[~good]))
 
 
 def _keys(doc_ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -207,21 +242,22 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 5000) -> float:
             k -= n
 
 
-def cutoff(scored: DataFrame, margin: float = MARGIN) -> float:
+def cutoff(scored: DataFrame, margin: float) -> float:
     k = scored.where(F.col("log_weight") >= margin).count()
     return kth_largest(scored, "key", k)
 
 
 def resampled(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """doc_id, log_weight, key, kept for each row of (doc_id, text)."""
-    scored = settled(scores(docs, fitted(docs, labels, labelled)))
-    return scored.withColumn("kept", F.col("key") >= F.lit(cutoff(scored)))
+    model = fitted(docs, labels, labelled)
+    scored = settled(scores(docs, model))
+    return scored.withColumn("kept", F.col("key") >= F.lit(cutoff(scored, model.margin)))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Keys are computed again in the filtering scan, so that no text is exchanged."""
     model = fitted(docs, labels, labelled)
-    cut = cutoff(settled(scores(docs, model)))
+    cut = cutoff(settled(scores(docs, model)), model.margin)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
