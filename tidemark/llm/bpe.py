@@ -3,8 +3,9 @@
 The tokenizer file gives normaliser, splitting rule, vocabulary and merges. For the distinct words of a batch, a greedy longest match
 proposes tokens. A proposal is the BPE result if each token is the result of its own characters and each two neighbours are compatible:
 undoing the later merge on either side of their border step by step, no merge across the border ever comes first. All pairs of a batch
-are tested at once on arrays; only words with a failing pair are merged exactly, with a heap. Results are kept for each run of
-non-blank bytes, as blanks end words and no rule looks across them.
+are tested at once on arrays; only words with a failing pair are merged exactly, with a heap. Blanks end words and no rule looks across
+them, so the distinct runs of non-blank bytes of a slice are split to words, the distinct words are encoded, and tokens are dealt to the
+places of the runs, all on arrays. A worker keeps the tokens of about KEPT_BYTES of words.
 
 Decoding follows the file: without a decoder the tokens are joined by one space.
 
@@ -19,22 +20,25 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, worker_cache
+from .wordhash import Split
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that a worker keeps, about, and their length at most; the most frequent words come first.
-KEPT_WORDS, KEPT_LENGTH = 220_000, 64
+#: Bytes of words and their tokens that a worker keeps, about, and what a word takes besides; the most frequent words come first.
+KEPT_BYTES, WORD_BYTES = 40_000_000, 150
 #: Symbols up to which a word is merged by scanning a list.
 SHORT, NEVER = 48, 1 << 60
 #: Printable ASCII is its own byte-level form; the file's splitting rule for it, after lower-casing.
-PLAIN = re.compile(rb"[!-~]+")
-PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = r"^[!-~]+$"
+PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 PLAIN_RULES = json.dumps(
     [
         {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -64,6 +68,9 @@ class Codec:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        #: a word that stands for an added token; no byte-level word has a zero
+        self.marks = {c: f"\0{i}" for c, i in self.added.items()}
+        self.added_by_mark = {f"\0{i}": i for i in self.added.values()}
         # the short way for ASCII holds for files with these rules
         self.plain = json.dumps([spec["normalizer"], spec["pre_tokenizer"]], sort_keys=True) == PLAIN_RULES and all(c.startswith("<|") for c in self.added)
         self.special = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) or r"(?!)")
@@ -85,9 +92,14 @@ class Codec:
         self.inner = {t: i for t, i in self.ids.items() if sound[i] and not (k and t.endswith(self.suffix))}
         self.last = {t[:-k] if k else t: i for t, i in self.ids.items() if sound[i] and t.endswith(self.suffix)}
         self.longest = max(map(len, self.ids))
-        self.decimal = [str(i) for i in range(self.n)]
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[bytes, tuple[bytes, int, bytes]] = {}
+        #: length of the longest inner token that begins with these three characters
+        self.reach: dict[str, int] = {}
+        for t in self.inner:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
+        self.decimal, self.texts = pa.array(map(str, range(n)), pa.string()), pa.array(self.names, pa.string())
+        #: the words that are kept, numbered, and their tokens one after the other
+        self.known: dict[str, int] = {}
+        self.sizes, self.tokens, self.held = array("i"), array("i"), 0
 
     def symbols(self, word: str) -> list[int]:
         """Ids of the single characters, the last with the suffix; unknown ones are left out."""
@@ -153,13 +165,13 @@ class Codec:
         whole = self.last.get(word)
         if whole is not None:
             return [whole]
-        out, i, n, inner, last, longest = [], 0, len(word), self.inner, self.last, self.longest
+        out, i, n, inner, last, longest, reach = [], 0, len(word), self.inner.get, self.last.get, self.longest, self.reach.get
         while i < n:
-            if n - i <= longest and (token := last.get(word[i:])) is not None:
+            if n - i <= longest and (token := last(word[i:])) is not None:
                 out.append(token)
                 return out
-            for j in range(min(n - 1, i + longest), i, -1):
-                token = inner.get(word[i:j])
+            for j in range(min(n - 1, i + reach(word[i : i + 3], 2)), i, -1):
+                token = inner(word[i:j])
                 if token is not None:
                     out.append(token)
                     i = j
@@ -187,80 +199,124 @@ class Codec:
             live = live[on]
         return good
 
-    def learn(self, words: set[str]) -> dict[str, list[int]]:
-        """Token ids of the words."""
-        out, guessed, exact = {}, [], []
-        for w in words:
-            if w in self.words:
-                out[w] = self.words[w]
-            elif (p := self.proposed(w)) is None:
-                exact.append(w)
-            else:
-                guessed.append((w, p))
+    def learn(self, words: list[str]) -> list[list[int]]:
+        """Token ids of each word."""
+        out = list(map(self.proposed, words))
+        exact = [i for i, p in enumerate(out) if p is None]
+        guessed = [i for i, p in enumerate(out) if p is not None and len(p) > 1]
         if guessed:
-            sizes = np.array([len(p) for _, p in guessed])
-            flat = np.fromiter((t for _, p in guessed for t in p), dtype=np.int64, count=int(sizes.sum()))
-            word = np.repeat(np.arange(len(guessed)), sizes)
+            sizes = np.array([len(out[i]) for i in guessed])
+            flat = np.fromiter((t for i in guessed for t in out[i]), dtype=np.int64, count=int(sizes.sum()))
+            word = np.repeat(np.array(guessed), sizes)
             inner = word[:-1] == word[1:]
             pairs, where = np.unique(flat[:-1][inner] * self.n + flat[1:][inner], return_inverse=True)
-            bad = ~self.compatible(pairs // self.n, pairs % self.n)[where] if len(pairs) else np.zeros(0, bool)
-            failing = set(word[:-1][inner][bad].tolist())
-            for i, (w, p) in enumerate(guessed):
-                if i in failing:
-                    exact.append(w)
-                else:
-                    out[w] = p
-        for w in exact:
-            out[w] = self.merged(self.symbols(w))
-        if len(self.words) < KEPT_WORDS:
-            self.words.update((w, p) for w, p in out.items() if len(w) <= KEPT_LENGTH)
+            bad = ~self.compatible(pairs // self.n, pairs % self.n)[where]
+            exact += np.unique(word[:-1][inner][bad]).tolist()
+        for i in exact:
+            out[i] = [self.added_by_mark[words[i]]] if words[i] in self.added_by_mark else self.merged(self.symbols(words[i]))
         return out
 
-    def pieces(self, chunk: bytes) -> list[str | int]:
-        """Words of a run without blanks, after normalising and splitting, and the ids of added tokens."""
-        if self.plain and PLAIN.fullmatch(chunk) and b"<|" not in chunk:
-            return PLAIN_PIECES.findall(chunk.decode("ascii").lower())
-        text, out, end = chunk.decode("utf-8"), [], 0
+    def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, tokens): word i has `size[i]` of the tokens from begin[i] on."""
+        number = np.fromiter((self.known.get(w, -1) for w in words), np.int64, count=len(words))
+        fresh = np.flatnonzero(number < 0)
+        learned = self.learn([words[i] for i in fresh])
+        sizes = np.r_[np.array(self.sizes, np.int64), np.array(list(map(len, learned)), np.int64)]
+        tokens = np.r_[np.array(self.tokens, np.int32), np.fromiter((t for p in learned for t in p), np.int32)]
+        number[fresh] = len(self.sizes) + np.arange(len(fresh))
+        begin = np.cumsum(sizes) - sizes
+        for i, p in zip(fresh, learned, strict=True):
+            if self.held >= KEPT_BYTES:
+                break
+            self.known[words[i]] = len(self.sizes)
+            self.sizes.append(len(p))
+            self.tokens.extend(p)
+            self.held += WORD_BYTES + len(words[i]) + 4 * len(p)
+        return begin[number], sizes[number], tokens
+
+    def pieces(self, text: str) -> list[str]:
+        """Words of a run without blanks, after normalising and splitting; an added token is its mark."""
+        out, end = [], 0
 
         def plain(part: str):
             if part:
                 out.extend(w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part)) if w)
 
-        for m in self.special.finditer(text) if b"<" in chunk else ():
+        for m in self.special.finditer(text):
             plain(text[end : m.start()])
-            out.append(self.added[m.group()])
+            out.append(self.marks[m.group()])
             end = m.end()
         plain(text[end:])
         return out
 
-    def encode_chunks(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, int, bytes]]:
-        """chunk -> (decimal ids joined by spaces, their number, decoded text)."""
-        known, cut, get = {}, {}, self.chunks.get
-        for c in chunks:
-            got = get(c)
-            if got is None:
-                cut[c] = self.pieces(c)
-            else:
-                known[c] = got
-        ids = self.learn({w for p in cut.values() for w in p if isinstance(w, str)})
-        fresh = {}
-        for c, p in cut.items():
-            t = ids[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in ((w,) if isinstance(w, int) else ids[w])]
-            fresh[c] = (" ".join([self.decimal[i] for i in t]).encode(), len(t), " ".join([self.names[i] for i in t]).encode())
-        if len(self.chunks) < KEPT_WORDS:
-            self.chunks.update((c, v) for c, v in fresh.items() if len(c) <= KEPT_LENGTH)
-        known.update(fresh)
-        return known
-
-    def encode_batch(self, texts: list[bytes | None]) -> list[tuple[bytes, int, bytes]]:
-        split = [(t or b"").split() for t in texts]
-        done = self.encode_chunks({c for chunks in split for c in chunks})
-        out = []
-        for chunks in split:
-            got = [x for x in map(done.__getitem__, chunks) if x[1]]
-            out.append((b" ".join([x[0] for x in got]), sum([x[1] for x in got]), b" ".join([x[2] for x in got])))
+    def all_pieces(self, runs: list[str]) -> list[list[str]]:
+        """The same for many runs, in one call of the splitting rule where a blank between them changes nothing."""
+        out: list[list[str]] = [[] for _ in runs]
+        alone = [i for i, r in enumerate(runs) if BLANK.search(r) or self.special.search(r)]
+        some = sorted(set(range(len(runs))) - set(alone))
+        text = self.normalizer.normalize_str(" ".join([runs[i] for i in some]))
+        if text.count(" ") != max(0, len(some) - 1):
+            some, alone = [], range(len(runs))
+        if some:
+            starts = np.cumsum([0] + [len(t) + 1 for t in text.split(" ")])
+            got = self.splitter.pre_tokenize_str(text)
+            for i, (w, _) in zip(np.searchsorted(starts, [at for _, (at, _) in got], "right") - 1, got, strict=True):
+                if w:
+                    out[some[i]].append(w)
+        for i in alone:
+            out[i] = self.pieces(runs[i])
         return out
 
+    def words_of(self, runs: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, begin, size, codes): run i has `size[i]` words, numbered by the codes from begin[i] on."""
+        plain = np.zeros(len(runs), bool)
+        if self.plain and len(runs):
+            plain = pc.and_not(pc.match_substring_regex(runs, PLAIN), pc.match_substring(runs, "<|")).to_numpy(zero_copy_only=False)
+        parts = Split(pc.replace_substring_regex(pc.ascii_lower(runs.filter(pa.array(plain))), PLAIN_PIECES, r"\0 "))
+        words = parts.distinct.to_pylist()
+        size, codes = np.zeros(len(runs), np.int64), [parts.codes]
+        size[plain] = parts.sizes()
+        number = {w: i for i, w in enumerate(words)}
+        other = self.all_pieces(runs.filter(pa.array(~plain)).to_pylist())
+        size[~plain] = list(map(len, other))
+        codes.append(np.fromiter((number.setdefault(w, len(number)) for p in other for w in p), np.int64))
+        begin = np.zeros(len(runs), np.int64)
+        begin[plain] = parts.ends[:-1]
+        begin[~plain] = len(parts.codes) + np.cumsum(size[~plain]) - size[~plain]
+        return list(number), begin, size, np.concatenate(codes)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """For each text the number of its tokens, and the digests of its ids and of its decoded text."""
+        split = Split(texts)
+        words, begin, size, codes = self.words_of(split.distinct)
+        codes, words_to = dealt(begin, size, codes, np.arange(len(begin)))
+        tokens, tokens_to = dealt(*self.tokens_of(words), codes)
+        run_ends = tokens_to[words_to]
+        ids, to = dealt(run_ends[:-1], np.diff(run_ends), tokens, split.codes)
+        ends = to[split.ends]
+        return np.diff(ends), digests(self.decimal, ids, ends), digests(self.texts, ids, ends)
+
+
+def dealt(begin: np.ndarray, size: np.ndarray, values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the codes one after the other, ends): code i stands for the `size[i]` values from begin[i] on."""
+    n = size[codes] if len(codes) else np.zeros(0, np.int64)
+    ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1] - (begin[codes] if len(codes) else 0), n)
+    return values[at], ends
+
+
+def digests(names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """SHA-256 of each row's names joined by a blank; row i has the ids from ends[i] to ends[i + 1]."""
+    out, row = [], 0
+    while row < len(ends) - 1:  # so many rows at a time as have about JOINED ids
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + JOINED, "right")) - 1)
+        lists = pa.LargeListArray.from_arrays(pa.array(ends[row : stop + 1] - ends[row]), names.take(pa.array(ids[ends[row] : ends[stop]])))
+        joined = pc.binary_join(lists, " ").cast(pa.large_binary())
+        at, data = np.frombuffer(joined.buffers()[1], np.int64, stop - row + 1), memoryview(joined.buffers()[2] or b"")
+        out += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        row = stop
+    return out
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -268,8 +324,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Bytes of text encoded at a time.
-AT_ONCE = 6_000_000
+#: Tokens joined at a time, about.
+JOINED = 300_000
+#: What any rule may take for a blank.
+BLANK = re.compile(r"\s")
 
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -277,12 +335,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         codec = worker_cache(f"bpe {vocabulary}", lambda: Codec(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary)))
-        for batch in slices(batches, AT_ONCE):
-            rows = codec.encode_batch(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for batch in slices(batches):
+            n, ids, decoded = codec.encode_batch(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -1,8 +1,10 @@
-"""Word hashes on arrays, for the operators that run in Python."""
+"""Words of a batch of texts and their hashes, on arrays, for the operators that run in Python."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words whose hashes a worker keeps.
@@ -10,6 +12,39 @@ KEPT = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Split:
+    """A batch of texts as words: `codes` numbers the words of all texts one after the other, text i has those from ends[i] to ends[i + 1],
+    and `distinct` is the Arrow array of the words that the numbers stand for."""
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        text = column.cast(pa.binary()).fill_null(b"").view(pa.string())  # bytes are taken as they are
+        if lower:
+            text = pc.ascii_lower(text)
+        lists = pc.ascii_split_whitespace(text)
+        ends, values = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+        codes, self.distinct = values.indices.to_numpy(zero_copy_only=False), values.dictionary
+        # blanks at an end of a text give an empty part
+        blank = pc.index(self.distinct, pa.scalar("")).as_py()
+        if blank >= 0:
+            word = codes != blank
+            ends = np.r_[0, np.cumsum(word)][ends]
+            codes = codes[word]
+        self.codes, self.ends = codes, ends
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends)
+
+    def rows(self) -> np.ndarray:
+        """The text each word is of."""
+        return np.repeat(np.arange(len(self)), self.sizes())
+
+    def words(self) -> list[bytes]:
+        return self.distinct.view(pa.binary()).to_pylist()
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash; the first KEPT words stay."""
 
@@ -22,6 +57,11 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def split(self, column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words of all texts, ends): text i has the hashes from ends[i] to ends[i + 1]."""
+        s = Split(column, lower)
+        return self.of(s.words())[s.codes] if len(s.codes) else np.zeros(0, np.uint64), s.ends
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
