@@ -348,6 +348,57 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.resampled(empty, none).count() == 0
 
 
+def brute_grams(t):
+    """The n-grams of a text, as what they stand for."""
+    w = words(t)
+    stripped = [x.lower().strip(b".,;:!?\"()[]{}*#$%&|<>'") for x in w]
+    outline = lambda x: re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"([aA0])\1+", rb"\1", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", x[:64])))))[:12]
+    repeated = 5 * sum(a == b for a, b in zip(stripped, stripped[1:], strict=False)) > len(w)
+    return {("w", x) for x in stripped} | {("p", *x) for x in zip(stripped, stripped[1:], strict=False)} | {("o", outline(x)) for x in w} | ({("repeats",)} if repeated else set())
+
+
+def brute_weights(rows, fit, labelled, least=3):
+    """Log weight of each text by models of the good rows in fit (text, good) and of all rows."""
+    raw = collections.Counter(g for _, t in rows for g in brute_grams(t))
+    target = collections.Counter(g for t, good in fit if good for g in brute_grams(t))
+    have = collections.Counter(g for t, _ in labelled for g in brute_grams(t))
+    n = sum(good for _, good in fit)
+    a = max(2.0, n / 2000)
+    ratios = {g: x for g in have if have[g] >= least and (x := math.log((target[g] + a) / (raw[g] * (n / len(rows)) + a))) < -1}
+    return lambda t: sum(sorted(ratios.get(g, 0.0) for g in brute_grams(t)))
+
+
+def test_classifier_brute_force(spark):
+    """Ratios, margin, keys and cutoff from their definitions; rows with equal keys at the cutoff stay together."""
+    rng = random.Random(21)
+    clean, vile = [f"c{k}" for k in range(200)], ["vile", "AWFUL!", "x9%%%"]
+    rows = [(i, " ".join(rng.choices(clean, k=40) + (rng.sample(vile, 2) if i % 4 == 0 else [])) + (" so so so so so so so so so so so so" if i % 8 == 0 else "")) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, "vile " * 3000)] + [rows[4], rows[5]] * 3
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality_classifier.resampled(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = {r[0] for r in spark.range(400).where(F.pmod(F.xxhash64("id", F.lit("held")), F.lit(quality_classifier.HELD)) == 0).collect()}
+    good = {i: not t for i, _, t in labels}
+    known = [(i, t) for i, t in rows if i in good]
+    fit = [(t, good[i]) for i, t in known if i not in held]
+    part, whole = brute_weights(rows, fit, fit), brute_weights(rows, [(t, good[i]) for i, t in known], [(t, good[i]) for i, t in known])
+    g, b = ([part(t) for i, t in known if i in held and good[i] == x] for x in (True, False))
+    levels = sorted(set(g + b))
+    cuts = [(x + y) / 2 for x, y in zip(levels, levels[1:], strict=False)]
+    margin = max(cuts, key=lambda c: (sum(x < c for x in b) / len(b) - sum(x < c for x in g) / len(g), -c))
+    want = sorted((i, whole(t)) for i, t in rows)
+    assert [(i, pytest.approx(w, abs=1e-9)) for i, w in want] == sorted((r["doc_id"], r["log_weight"]) for r in got)
+    keys = quality_classifier._keys(np.array([i for i, _ in want]), np.array([w for _, w in want]))
+    cut = sorted(keys, reverse=True)[sum(w >= margin for _, w in want) - 1]
+    assert [bool(k >= cut - 1e-9) for k in keys] == [r["kept"] for r in sorted(got, key=lambda r: r["doc_id"])]
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add((r["key"], r["kept"]))
+    assert all(len(x) == 1 for x in by.values())
+    tied = spark.createDataFrame([(float(x), -float(x)) for x in (3, 3, 3, 2, 1)], "key double, log_weight double")
+    assert quality_classifier.cutoff(tied, -3.0) == 1.0 and quality_classifier.cutoff(tied, -1.5) == 3.0
+
+
 def test_classifier_length_does_not_reject(spark):
     """Clean texts of 20,000 different words keep log weight 0: no gram of theirs shares the weight of a flagged one."""
     rng = random.Random(12)
