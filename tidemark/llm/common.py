@@ -31,15 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def _place(spark: SparkSession, path: str):
+    """The path and its file system, as the driver's Hadoop client knows them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A folder that is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for df in tables:
+        place, system = _place(df.sparkSession, df.settled_at)
+        system.delete(place, True)
 
 
 def worker_cache(key: str, make):
@@ -94,6 +113,21 @@ def small(df: DataFrame, lists: str | None = None) -> DataFrame:
     return F.broadcast(df) if r["rows"] <= BROADCAST_ROWS and (r["items"] or 0) <= BROADCAST_ITEMS else df
 
 
+#: A key with more than this share of a table's rows is hot; there are fewer hot keys than 1 / HOT.
+HOT = 1 / 1000
+
+
+def unskewed_join(many: DataFrame, one: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """The left join of many (settled) with one (settled; a row for each key, `rows` telling how many of many's rows have it).
+
+    Hot keys, fewer than 1 / HOT, are joined by broadcast, the others by an exchange in which no key is large.
+    """
+    total = one.agg(F.sum(rows).alias("n")).first()["n"] or 0
+    hot = F.broadcast(one.where(F.col(rows) > total * HOT))
+    cold = many.join(hot.select(*on), on, "left_anti").join(one.where(F.col(rows) <= total * HOT), on, "left")
+    return many.join(hot, on).unionByName(cold).drop(rows)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
