@@ -6,7 +6,8 @@ Phase 3 resolves the scores of just these entries exactly in integers and keeps
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; vectors of
 different lengths don't score; a query row repeated under one id is one query (the smallest vector), and no row of its id is its
-candidate; repeated candidate rows each count; ties go to the smaller id. An empty table gives an empty result.
+candidate; repeated candidate rows each count; ties go to the smaller id; components beyond 64 bits after scaling, and scores beyond 64 bits,
+count as the nearest 64-bit number. An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,19 +34,25 @@ def _matrices(ids, vectors):
         yield ids[at], np.stack([np.asarray(vectors[i], dtype=np.int64) for i in at])
 
 
+#: The largest and smallest scores.
+MOST, LEAST = (1 << 63) - 1, -(1 << 63)
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of paired rows."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**62:
+    """Exact inner products of paired rows, within 64 bits."""
+    if float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1] < 2.0**62:
         return np.einsum("ij,ij->i", q, x)
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q, x, strict=True)], dtype=object)
+    return np.array([min(MOST, max(LEAST, sum(a * b for a, b in zip(r, s, strict=True)))) for r, s in zip(q.tolist(), x.tolist(), strict=True)], dtype=np.int64)
 
 
 def _rough(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores in single precision, queries by rows, and for each query a bound of their error."""
-    qf, xf = q.astype(np.float32), x.astype(np.float32)
-    norm = np.sqrt((x.astype(np.float64) ** 2).sum(1)).max(initial=0)
-    bound = (q.shape[1] + 4) * 2.0**-23 * np.sqrt((q.astype(np.float64) ** 2).sum(1)) * norm + 1e-6
-    return qf @ xf.T, bound
+    """Scores within 64 bits, queries by rows, and for each query a bound of their error; in single precision where that can hold them."""
+    qn, xn = (np.sqrt((m.astype(np.float64) ** 2).sum(1)) for m in (q, x))
+    single = float(qn.max(initial=0)) * float(xn.max(initial=0)) < 2.0**100
+    kind, unit = (np.float32, 2.0**-23) if single else (np.float64, 2.0**-52)
+    bound = (q.shape[1] + 4) * unit * qn * xn.max(initial=0) + 1e-6
+    # near the ends of 64 bits doubles are 2048 apart
+    return np.clip((q.astype(kind) @ x.astype(kind).T).astype(np.float64), -(2.0**63), 2.0**63), bound + (0 if single else 4096.0)
 
 
 def _gather(block, k):
@@ -59,7 +66,7 @@ def _gather(block, k):
                     s[qids[:, None] == ids[None, :]] = -np.inf
                     n = min(k, s.shape[1])
                     top = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :] - bound[:, None]
-                    rows = pd.DataFrame({"query_id": np.repeat(qids, n), "low": top.ravel().astype(np.float64)})
+                    rows = pd.DataFrame({"query_id": np.repeat(qids, n), "low": top.ravel()})
                     yield rows[np.isfinite(rows["low"])]
 
     return run
@@ -79,7 +86,7 @@ def _collect(block, cutoffs, k):
                         continue
                     out = pd.DataFrame({"query_id": qids[a], "vec_id": ids[b], "score": _exact(q[a], x[b])})
                     out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-                    yield out.groupby("query_id", sort=False).head(k).astype({"score": np.int64})
+                    yield out.groupby("query_id", sort=False).head(k)
 
     return run
 
@@ -95,6 +102,7 @@ def as_integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
 def exact_topk(ints: DataFrame, is_query: Column, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for (vec_id, v) rows; queries are the rows that is_query holds for, taken in blocks of bounded size."""
     spark = ints.sparkSession
+    ints = settled(ints)  # read twice for each block of queries
     # a block's queries come to the driver, at most about `block` vectors; the query set itself stays distributed
     queries = settled(ints.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     n_blocks = max(1, -(-queries.count() // block))
