@@ -4,19 +4,20 @@ A window of 50 words is removed if its words also start, as a window, in a docum
 
 1. Anchors. The smallest hash of the 8-word grams in a window is the same wherever the window stands. Anchors that two documents share
    mark the windows worth looking at; all other text ends here.
-2. References. Hashes of these windows find the first document of each; runs of windows in their first documents are the references,
-   each distinct passage about once.
-3. Matching. References are cut into shards of bounded size by the hash of their document. A suffix automaton of each shard is
-   built where the shard's documents are streamed (for a shard with very many segments in several places): the longest match that ends
-   at each word, and the smallest doc_id it occurs in, decide about the window that ends there, word for word.
+2. References. Hashes of these windows find the first document of each, and the place there; runs of windows in their first documents are
+   the references, each distinct passage about once.
+3. Matching. References are cut into shards of bounded size by the hash of their document and by their place in it. A suffix automaton of
+   each shard is built where the shard's documents are streamed (for a shard with very many segments in several places): the longest match
+   that ends at each word, and the smallest doc_id it occurs in, decide about the window that ends there, word for word.
 4. The words covered by such windows go.
 
-Within a batch of rows, windows of one hash are resolved at once and only the first is sent on, so a passage that a third of all documents
-share is a row for each batch, not for each document.
+Within a slice of rows, anchors and windows that several documents have are resolved at once and only the first is sent on under its hash,
+so a passage that a third of all documents share is a row for each slice, not for each document.
 
-Defined results: null and blank texts have no words; rows with a null doc_id are kept whole and are no reference; doc_id names the text,
-so repeated rows are equal rows, get equal results and don't count as earlier documents for each other; an empty table gives an empty
-result; other columns are ignored.
+Defined results: null and blank texts have no words; texts of any length are read whole; rows with a null doc_id are kept whole and are no
+reference; rows of one doc_id are the same document, so they don't count as earlier for each other, whether their texts are equal or
+not, and each is judged by its own text; an empty table gives an empty result; other columns are ignored. Texts of one doc_id with equal
+64-bit hashes are taken as equal.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settled, slices, small, table, worker_cache
+from .common import done_with, settled, slices, small, table, worker_cache
 from .wordhash import WordHashes, mixed, windows
 
 WINDOW = 50
@@ -123,64 +124,80 @@ class Automaton:
 
 
 def _binary(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """doc_id, t (the text's hash), text; (doc_id, t) tells apart the texts of one doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+
+
+def _slices(batches):
+    """Slices of rows with the hashes of their words: (slice, hashes, ends)."""
+    for batch in slices(batches):
+        h, ends = worker_cache("words", WordHashes).split(batch.column("text"))
+        yield batch, h, ends.tolist()
 
 
 def _send_anchors(window):
+    """anchor, doc_id, known: anchors that several documents of a slice have are known to be shared; their first document also asks for others."""
+
     def run(batches):
-        hashes = worker_cache("words", WordHashes)
-        for batch in slices(batches):
-            found, ids = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                a = np.unique(anchors(hashes.of((text or b"").split()), window))
-                if len(a) and doc is not None:
-                    found.append(a.view(np.int64))
-                    ids.append(np.full(len(a), doc, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
+        for batch, h, ends in _slices(batches):
+            found, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                if doc is not None and b - a >= window:
+                    found.append(np.unique(anchors(h[a:b], window)))
+                    ids.append(np.full(len(found[-1]), doc, np.int64))
+            anchor, doc = np.concatenate(found), np.concatenate(ids)
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            first = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
+            group = np.cumsum(first) - 1
+            known = (doc[first] < doc[np.r_[np.flatnonzero(first)[1:], len(doc)] - 1])[group] if len(doc) else first
+            asks = first
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[anchor[known], anchor[asks]].view(np.int64)), pa.array(np.r_[doc[known], doc[asks]]), pa.array(np.arange(known.sum() + asks.sum()) < known.sum())], names=["anchor", "doc_id", "known"])
 
     return run
 
 
 def _send_windows(window):
-    """key, doc_id, start, first, ref: windows with a shared anchor; those with an earlier document in the batch carry it and a key of their own."""
+    """key, doc_id, t, start, first, at, ref: windows with a shared anchor. Those with an earlier document in the slice carry it, their place in it and a key of their own."""
 
     def run(batches):
-        hashes = worker_cache("words", WordHashes)
-        for batch in slices(batches):
-            keys, docs, starts = [], [], []
-            for doc, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
-                h = hashes.of(text.split())
-                at = np.flatnonzero(np.isin(anchors(h, window), shared.values.to_numpy().view(np.uint64)))
-                keys.append(windows(h, window)[at])
+        for batch, h, ends in _slices(batches):
+            keys, docs, texts, starts = [], [], [], []
+            for doc, t, a, b, shared in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), ends[:-1], ends[1:], batch.column("anchors"), strict=True):
+                at = np.flatnonzero(np.isin(anchors(h[a:b], window), shared.values.to_numpy().view(np.uint64)))
+                keys.append(windows(h[a:b], window)[at])
                 docs.append(np.full(len(at), doc, np.int64))
+                texts.append(np.full(len(at), t, np.int64))
                 starts.append(at)
             if not sum(map(len, keys)):
                 continue
-            key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts).astype(np.int32)
-            order = np.lexsort((doc, key))
-            key, doc, start = key[order], doc[order], start[order]
-            group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-            low = doc[np.flatnonzero(np.r_[True, key[1:] != key[:-1]])][group]
-            known = low < doc
+            key, doc, text, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(texts), np.concatenate(starts).astype(np.int32)
+            order = np.lexsort((start, text, doc, key))
+            new = np.r_[True, key[order][1:] != key[order][:-1]]
+            group = np.zeros(len(key), np.int64)
+            # each row's group and the group's first row; rows stay in their order, which packs well in the exchange
+            group[order] = np.cumsum(new) - 1
+            low = order[new][group]
+            known = doc[low] < doc
             ref = ~known & (np.bincount(group, weights=known) > 0)[group]
-            own = mixed(mixed(doc.view(np.uint64)) + start.astype(np.uint64))
+            own = mixed(mixed(mixed(doc.view(np.uint64)) + text.view(np.uint64)) + start.astype(np.uint64))
             key = np.where(known, own, key).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), pa.array(low, mask=~known), pa.array(ref)], names=["key", "doc_id", "start", "first", "ref"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(text), pa.array(start), pa.array(doc[low], mask=~known), pa.array(start[low], mask=~known), pa.array(ref)], names=["key", "doc_id", "t", "start", "first", "at", "ref"])
 
     return run
 
 
 def _send_segments(window):
-    """shard, doc_id, start, ref, words for each run of windows of a document."""
+    """first, block, doc_id, t, start, ref, words for each run of windows of a text."""
+    schema = pa.schema([("first", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("ref", pa.bool_()), ("words", pa.binary())])
 
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for doc, t, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text", "runs")), strict=True):
                 words = text.split()
-                rows += [(r["first"], doc, r["s"], r["first"] == doc, b" ".join(words[r["s"] : r["e"] + window])) for r in runs]
-            yield pa.RecordBatch.from_pylist([dict(zip(("first", "doc_id", "start", "ref", "words"), r, strict=True)) for r in rows], schema=pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("ref", pa.bool_()), ("words", pa.binary())]))
+                rows += [(r["first"], r["block"], doc, t, r["s"], r["first"] == doc, b" ".join(words[r["s"] : r["e"] + window])) for r in runs]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     return run
 
@@ -194,14 +211,14 @@ def _match(window):
         automaton.close()
         spans = []
         streamed = pdf[~pdf["ref"]]
-        for doc, start, words in zip(streamed["doc_id"], streamed["start"], streamed["words"], strict=True):
+        for doc, t, start, words in zip(streamed["doc_id"], streamed["t"], streamed["start"], streamed["words"], strict=True):
             for end in automaton.repeats(words.split(), doc, window):
                 low, high = start + end - window + 1, start + end + 1
-                if spans and spans[-1][0] == doc and spans[-1][2] >= low >= spans[-1][1]:
-                    spans[-1][2] = high
+                if spans and spans[-1][0] == doc and spans[-1][1] == t and spans[-1][3] >= low >= spans[-1][2]:
+                    spans[-1][3] = high
                 else:
-                    spans.append([doc, low, high])
-        return pd.DataFrame(spans, columns=["doc_id", "low", "high"])
+                    spans.append([doc, t, low, high])
+        return pd.DataFrame(spans, columns=["doc_id", "t", "low", "high"])
 
     return run
 
@@ -222,38 +239,46 @@ def _remove(batches):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans): word ranges [low, high) to remove, for the documents that have any."""
-    rows = settled(_binary(docs).mapInArrow(_send_anchors(window), "anchor long, doc_id long"))
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    marked = settled(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    texts = settled(_binary(docs).join(small(marked, "anchors"), "doc_id").dropDuplicates(["doc_id"]))
-    sent = texts.mapInArrow(_send_windows(window), "key long, doc_id long, start int, first long, ref boolean")
+    """(doc_id, t, spans): word ranges [low, high) to remove, for the texts that have any."""
+    rows = settled(_binary(docs).mapInArrow(_send_anchors(window), "anchor long, doc_id long, known boolean"))
+    asks = rows.where("NOT known")
+    shared = asks.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    both = rows.where("known").select("doc_id", "anchor").unionByName(asks.join(shared, "anchor").select("doc_id", "anchor"))
+    marked = settled(both.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    # a text repeated under its doc_id is looked at once
+    texts = settled(_binary(docs).join(small(marked, "anchors"), "doc_id").dropDuplicates(["doc_id", "t"]))
+    sent = texts.mapInArrow(_send_windows(window), "key long, doc_id long, t long, start int, first long, at int, ref boolean")
     w = W.partitionBy("key")
-    found = sent.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).withColumn("first", F.coalesce("first", "low"))
+    found = sent.withColumn("low", F.min(F.struct("doc_id", "start")).over(w)).withColumn("high", F.max("doc_id").over(w))
+    found = found.withColumn("at", F.coalesce("at", "low.start")).withColumn("first", F.coalesce("first", "low.doc_id"))
     own = F.col("ref") | ((F.col("first") == F.col("doc_id")) & (F.col("high") > F.col("doc_id")))
-    roles = F.array_compact(F.array(F.when(own, F.col("doc_id")), F.when(F.col("first") < F.col("doc_id"), F.col("first"))))
-    found = found.select("doc_id", "start", F.explode(roles).alias("first"))
-    line = W.partitionBy("doc_id", "first").orderBy("start")
-    runs = found.withColumn("d", F.col("start") - F.row_number().over(line)).groupBy("doc_id", "first", "d").agg(F.min("start").alias("s"), F.max("start").alias("e"))
-    runs = settled(runs.select("doc_id", "first", "s", "e"))
+    mine = F.struct(F.col("doc_id").alias("first"), F.col("start").alias("at"))
+    roles = F.array_compact(F.array(F.when(own, mine), F.when(F.col("first") < F.col("doc_id"), F.struct("first", "at"))))
+    found = found.select("doc_id", "t", "start", F.explode(roles).alias("r")).select("doc_id", "t", "start", "r.first", F.floor(F.col("r.at") / SHARD_WORDS).cast("int").alias("block"))
+    line = W.partitionBy("doc_id", "t", "first", "block").orderBy("start")
+    runs = found.withColumn("d", F.col("start") - F.row_number().over(line)).groupBy("doc_id", "t", "first", "block", "d").agg(F.min("start").alias("s"), F.max("start").alias("e"))
+    runs = settled(runs.drop("d"))
+    done_with(rows, marked)
     size = F.col("e") - F.col("s") + window
     total = runs.agg(F.sum(F.when(F.col("first") == F.col("doc_id"), size)).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("first", F.lit("shard")), F.lit(shards))
+    shard = F.pmod(F.xxhash64("first", "block", F.lit("shard")), F.lit(shards))
     load = runs.where("first < doc_id").groupBy(shard.alias("shard")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / STREAM_WORDS)).alias("copies"))
-    per = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "s", "e")).alias("runs"))
-    parts = texts.select("doc_id", "text").join(small(settled(per), "runs"), "doc_id").mapInArrow(_send_segments(window), "first long, doc_id long, start int, ref boolean, words binary")
+    per = settled(runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "block", "s", "e")).alias("runs")))
+    parts = texts.select("doc_id", "t", "text").join(small(per, "runs"), ["doc_id", "t"]).mapInArrow(_send_segments(window), "first long, block int, doc_id long, t long, start int, ref boolean, words binary")
     dealt = parts.withColumn("shard", shard).join(load, "shard")
     copy = F.when(F.col("ref"), F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies"))))
-    dealt = dealt.select("shard", F.explode(copy).alias("copy"), "doc_id", "start", "ref", "words")
-    spans = dealt.groupBy("shard", "copy").applyInPandas(_match(window), "doc_id long, low int, high int")
-    return settled(spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    dealt = dealt.select("shard", F.explode(copy).alias("copy"), "doc_id", "t", "start", "ref", "words")
+    spans = dealt.groupBy("shard", "copy").applyInPandas(_match(window), "doc_id long, t long, low int, high int")
+    out = settled(spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    done_with(texts, runs, per)
+    return out
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by a space) for each row of (doc_id, text)."""
     spans = repeated_spans(docs, window)
-    return _binary(docs).join(small(spans, "spans"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _binary(docs).join(small(spans, "spans"), ["doc_id", "t"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
