@@ -242,7 +242,72 @@ def test_jobs():
     assert len(jobs({"a": [1, 2], "b": [1, 2, 3], "c": [4, 5, 6]}, ("b", "c"))) == 6
 
 
-def _tiff(values, deflate):
+def test_repeated_and_null_ids(spark):
+    """Features are assessed one by one, whatever their object_id; equal features have equal results."""
+    cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 3.0)], "band int, row int, col int, value double")
+    dense = curves.densified(spark.createDataFrame([("f", 0.0, 0.0), ("f", 5.0, 1.0)], "fn string, depth double, fraction double"))
+    rows = [(1, "centroid", 0.0, 0.0, "f", 100.0, 0.5, 0.5), (1, "centroid", 0.0, 0.0, "f", 100.0, 1.5, 0.5), (None, "centroid", 0.0, 0.0, "f", 100.0, 1.5, 0.5), (1, "centroid", 0.0, 0.0, "f", 100.0, 0.5, 0.5)]
+    assets = spark.createDataFrame(rows, "object_id long, extract_method string, ground_flht double, ground_elevtn double, fn_damage_s string, max_damage_s double, x double, y double")
+    assets = assets.withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")})
+    out = geom_model.impact(assets, rasters.Raster(cells, overlay.Grid(0, 1, 0, 1, 2, 1)), dense, [""])
+    got = sorted((str(r["object_id"]), r["x"], r["damage_s"], r["total_damage"]) for r in out.collect())
+    assert got == [("1", 0.5, 20.0, 20.0), ("1", 0.5, 20.0, 20.0), ("1", 1.5, 60.0, 60.0), ("None", 1.5, 60.0, 60.0)]
+
+
+def test_csv_header_after_many_comments(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("".join(f"#K{i}={i}\n" for i in range(500)) + "a,b\n1,x\n#late=1\n2,y\n")
+    t = tables.read_csv(spark, str(tmp_path / "c.csv"))
+    assert len(t.meta) == 500 and t.meta["k499"] == "499" and t.df.columns == ["a", "b"] and t.df.count() == 2
+
+
+def test_srs_is_stored(spark, tmp_path):
+    df = vectors.with_envelope(spark.createDataFrame([(1, bytearray(geometry.to_wkb("point", [[1.0, 2.0]])))], "object_id long, geom binary"))
+    for name in ("v.parquet", "v.geojsonl"):
+        vectors.write_vector(df, str(tmp_path / name), srs="EPSG:3857")
+        assert vectors.read_vector(spark, str(tmp_path / name))[1] == "EPSG:3857"
+    vectors.write_vector(df, str(tmp_path / "u.parquet"))
+    srs = vectors.read_vector(spark, str(tmp_path / "u.parquet"))[1]
+    with pytest.raises(DataError):
+        checks.has_srs(srs, "u.parquet")
+    assert vectors.read_vector(spark, str(tmp_path / "u.parquet"), srs="EPSG:4326")[1] == "EPSG:4326"
+
+
+def test_step_size(tmp_path):
+    from tidemark.plans.config import table_decimals
+
+    assert table_decimals({}) == 2 and table_decimals({"vulnerability.step_size": 0.001}) == 3 and table_decimals({"vulnerability.round": 1}) == 1
+    with pytest.raises(DataError):
+        table_decimals({"vulnerability.step_size": 0.02})
+    c = Config({"hazard": {"file": "none.asc"}}, tmp_path)
+    with pytest.raises(FileNotFoundError):
+        checks.existing_entries(c, ["hazard.file"])
+
+
+def test_grid_model_end_to_end(spark, tmp_path):
+    """From GeoTIFF files: curves, names and systems of the files; results that can be read back."""
+    from tidemark.plans import grid_model
+
+    exposed, water = np.full((4, 3), 100.0), np.arange(12, dtype=float).reshape(4, 3)
+    water[0, 0] = -9
+    (tmp_path / "e.tif").write_bytes(_tiff(exposed, True, '<GDALMetadata><Item name="fn_damage" sample="0">f</Item></GDALMetadata>', 28992))
+    (tmp_path / "h.tif").write_bytes(_tiff(water, False, '<GDALMetadata><Item name="return_period" sample="0">10</Item><Item name="x" sample="0" role="description">deep</Item></GDALMetadata>', 28992))
+    (tmp_path / "c.csv").write_text("water depth,f\n0,0\n20,1\n")
+    h = rasters.read_raster(spark, str(tmp_path / "h.tif"))
+    assert h.grid.srs == "EPSG:28992" and h.names == ["deep"] and h.meta == [{"return_period": "10"}]
+    settings = {"hazard": {"file": "h.tif"}, "vulnerability": {"file": "c.csv"}, "exposure": {"grid": {"file": "e.tif"}}, "output": {"path": "out"}, "model": {"risk": True}}
+    grid_model.run(spark, Config(settings, tmp_path))
+    want = {(r, c): water[r, c] * 5.0 for r in range(4) for c in range(3) if water[r, c] != -9}
+    for name, factor, bands in (("damage", 1.0, ["damage1_10.0y"]), ("total", 1.0, ["total_10.0y"]), ("ead", 0.1, ["ead"])):
+        back = rasters.read_raster(spark, str(tmp_path / f"out/{name}.parquet"))
+        assert back.grid == h.grid and back.names == bands
+        assert {(x["row"], x["col"]): x["value"] for x in back.cells.collect()} == pytest.approx({k: v * factor for k, v in want.items()})
+    (tmp_path / "e.asc").write_text("ncols 3\nnrows 4\nxllcorner 10\nyllcorner 18\ncellsize 0.5\n" + "100 100 100\n" * 4)
+    settings["exposure"]["grid"] = {"file": "e.asc", "srs": "EPSG:28992", "fn_damage": "f"}
+    out = grid_model.run(spark, Config(settings, tmp_path))
+    assert out["total"].count() == len(want)
+
+
+def _tiff(values, deflate, metadata="", code=0):
     """A one-band float32 file with strips of two rows."""
     import struct
     import zlib
@@ -255,10 +320,11 @@ def _tiff(values, deflate):
     offsets = [head + sum(map(len, strips[:i])) for i in range(n)]
     scale, tie, nodata = struct.pack("<3d", 0.5, 0.5, 0), struct.pack("<6d", 0, 0, 0, 10, 20, 0), b"-9\0\0"
     blob, places = b"", {}
-    for name, data in (("o", struct.pack(f"<{n}I", *offsets)), ("s", struct.pack(f"<{n}I", *map(len, strips))), ("scale", scale), ("tie", tie)):
+    for name, data in (("o", struct.pack(f"<{n}I", *offsets)), ("s", struct.pack(f"<{n}I", *map(len, strips))), ("scale", scale), ("tie", tie), ("keys", struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, code)), ("meta", metadata.encode() + b"\0")):
         places[name] = extra + len(blob)
         blob += data
     tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 32), (259, 3, 1, 8 if deflate else 1), (273, 4, n, places["o"]), (277, 3, 1, 1), (278, 4, 1, 2), (279, 4, n, places["s"]), (339, 3, 1, 3), (33550, 12, 3, places["scale"]), (33922, 12, 6, places["tie"]), (42113, 2, 3, struct.unpack("<I", nodata)[0])]
+    tags = sorted(tags + ([(34735, 3, 8, places["keys"])] if code else []) + ([(42112, 2, len(metadata) + 1, places["meta"])] if metadata else []))
     directory = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0" * 4
     return struct.pack("<2sHI", b"II", 42, extra + len(blob)) + b"".join(strips) + blob + directory
 

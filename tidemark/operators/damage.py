@@ -12,12 +12,6 @@ from .curves import bounds
 BROADCAST_CURVES = 2_000_000
 
 
-def curve_side(dense: DataFrame) -> DataFrame:
-    """Densified curves with their range, to be broadcast while they are small."""
-    side = dense.join(bounds(dense), "fn")
-    return F.broadcast(side) if dense.count() <= BROADCAST_CURVES else side
-
-
 def with_fraction(df: DataFrame, dense: DataFrame, depth: Column, fn: str = "fn", decimals: int = 2) -> DataFrame:
     """Adds `fraction`: the curve's value at the depth, clamped to the curve's range; NULL for a NULL depth or an unknown curve."""
     ranges = bounds(dense)
@@ -39,9 +33,3 @@ def damages(rows: DataFrame, dense: DataFrame, decimals: int = 2) -> DataFrame:
     """Adds `damage` to rows with fn, max, inun_depth, red_fact: fraction * max * red_fact, to cents."""
     out = with_fraction(rows, dense, F.col("inun_depth"), "fn", decimals)
     return out.withColumn("damage", rounded(F.col("fraction") * F.col("max") * F.col("red_fact"))).drop("fraction")
-
-
-def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, total: sum of the damages in cents; 0 where all are missing."""
-    cents = F.floor(F.col("damage") * 100.0 + 0.5).cast("long")
-    return rows.groupBy(*keys).agg((F.coalesce(F.sum(cents), F.lit(0)).cast("double") / 100.0).alias("total"))

@@ -113,6 +113,13 @@ def index_column(columns: list[str], index: str) -> None:
         raise DataError(f"the geometry file lacks the index column {index}")
 
 
+def existing_entries(config, patterns) -> None:
+    """Local files that the settings name exist; other stores are left to their readers."""
+    for key in config:
+        if any(re.fullmatch(p, key) for p in patterns) and "://" not in (path := config.path(key)):
+            existing(path)
+
+
 def existing(path: str | Path, root: str | Path = ".") -> Path:
     """The absolute path; relative ones are taken from root."""
     p = Path(path) if Path(path).is_absolute() else Path(root) / path

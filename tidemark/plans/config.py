@@ -7,6 +7,8 @@ import re
 import tomllib
 from pathlib import Path
 
+from ..errors import DataError
+from ..functions.scalars import step_decimals
 from ..functions.schema import NUMBER
 
 
@@ -61,6 +63,17 @@ class Config(dict):
         return value if "://" in value or Path(value).is_absolute() else str(self.root / value)
 
 
+def table_decimals(settings: dict) -> int:
+    """Decimals of the lattice of depths: `vulnerability.step_size` if it is set, which must be a power of ten, else `vulnerability.round`."""
+    step = settings.get("vulnerability.step_size")
+    if step is None:
+        return int(settings.get("vulnerability.round", 2))
+    decimals = step_decimals(float(step))
+    if abs(float(step) * 10**decimals - 1) > 1e-9:
+        raise DataError(f"vulnerability.step_size is {step}; steps are 1, 0.1, 0.01 and so on")
+    return decimals
+
+
 def jobs(arguments: dict[str, list], tied: tuple[str, ...] = ()) -> list[dict]:
     """All combinations of the arguments; tied ones go in step."""
     free = [k for k in arguments if k not in tied]

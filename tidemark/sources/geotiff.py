@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,36 @@ class Layout:
     dtype: str
     grid: Grid
     nodata: float | None
+    names: tuple[str | None, ...]
+    meta: tuple[dict[str, str], ...]
 
 
-def layout(data: bytes, srs: str) -> Layout:
-    """What the first directory of the file says."""
+#: Keys of the coordinate system in the directory of geographic keys: projected first.
+SYSTEM_KEYS = (3072, 2048)
+
+
+def system_of(keys: tuple[int, ...]) -> str | None:
+    """EPSG code from the directory of geographic keys: after four numbers, (key, where, count, value) for each."""
+    found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
+    return next((f"EPSG:{found[k]}" for k in SYSTEM_KEYS if 0 < found.get(k, 0) < 32767), None)
+
+
+def items_of(text: str, bands: int) -> tuple[tuple[str | None, ...], tuple[dict[str, str], ...]]:
+    """Descriptions and items of the bands from the metadata text; an item without a band holds for all."""
+    names: list[str | None] = [None] * bands
+    meta: list[dict[str, str]] = [{} for _ in range(bands)]
+    for item in ElementTree.fromstring(text).iter("Item") if text else ():
+        at = [int(item.get("sample"))] if item.get("sample") else range(bands)
+        for b in at:
+            if b < bands and item.get("role") == "description":
+                names[b] = item.text
+            elif b < bands:
+                meta[b][item.get("name", "")] = item.text or ""
+    return tuple(names), tuple(meta)
+
+
+def layout(data: bytes, srs: str | None = None) -> Layout:
+    """What the first directory of the file says. srs, if given, replaces its coordinate system."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise DataError("not a classic TIFF file")
@@ -56,10 +83,11 @@ def layout(data: bytes, srs: str) -> Layout:
     if 33550 not in tags or 33922 not in tags:
         raise DataError("the file has no north-up georeference")
     (dx, dy), tie = tags[33550][:2], tags[33922]
-    grid = Grid(tie[3] - tie[0] * dx, dx, tie[4] + tie[1] * dy, -dy, width, height, srs)
+    grid = Grid(tie[3] - tie[0] * dx, dx, tie[4] + tie[1] * dy, -dy, width, height, srs or system_of(tags.get(34735, ())) or "EPSG:4326")
+    items = items_of(b"".join(tags.get(42112, ())).rstrip(b"\0 ").decode(), bands)
     text = b"".join(tags.get(42113, ())).rstrip(b"\0 ").decode()
     dtype = order + {1: "u", 2: "i", 3: "f"}[one(339, 1)] + str(one(258, 8) // 8)
-    return Layout(order, width, height, bands, block, tags.get(324, tags.get(273)), tags.get(325, tags.get(279)), one(284, 1) == 2, one(259, 1) != 1, dtype, grid, float(text) if text else None)
+    return Layout(order, width, height, bands, block, tags.get(324, tags.get(273)), tags.get(325, tags.get(279)), one(284, 1) == 2, one(259, 1) != 1, dtype, grid, float(text) if text else None, *items)
 
 
 def cells_of(data: bytes, lay: Layout, k: int) -> pd.DataFrame:
@@ -76,8 +104,8 @@ def cells_of(data: bytes, lay: Layout, k: int) -> pd.DataFrame:
     return pd.DataFrame({"band": (bands + 1 + plane).ravel(), "row": (rows + r0).ravel(), "col": (cols + c0).ravel(), "value": a.astype(float).ravel()})
 
 
-def read_geotiff(spark: SparkSession, path: str, srs: str = "EPSG:4326"):
-    """(cells, grid, bands)."""
+def read_geotiff(spark: SparkSession, path: str, srs: str | None = None):
+    """(cells, layout)."""
     files = spark.read.format("binaryFile").load(path).select("content")
     lay = layout(bytes(files.first()["content"]), srs)
 
@@ -88,4 +116,4 @@ def read_geotiff(spark: SparkSession, path: str, srs: str = "EPSG:4326"):
 
     blocks = files.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(lay.offsets) - 1))))
     cells = blocks.mapInPandas(run, "band int, row int, col int, value double")
-    return cells.withColumn("value", without_nodata(F.col("value"), lay.nodata)).where("value IS NOT NULL"), lay.grid, lay.bands
+    return cells.withColumn("value", without_nodata(F.col("value"), lay.nodata)).where("value IS NOT NULL"), lay

@@ -41,8 +41,8 @@ def read_raster(spark: SparkSession, path: str, srs: str | None = None) -> Raste
     if suffix in (".asc", ".agr", ".txt"):
         return read_ascii(spark, path, srs or "EPSG:4326")
     if suffix in (".tif", ".tiff"):
-        cells, grid, n = read_geotiff(spark, path, srs or "EPSG:4326")
-        return Raster(cells, grid, band_names([None] * n, []) if n > 1 else [""], [{}] * n)
+        cells, lay = read_geotiff(spark, path, srs)
+        return Raster(cells, lay.grid, band_names(list(lay.names), list(lay.meta)) if lay.bands > 1 or lay.names[0] else [""], list(lay.meta))
     if suffix in (".parquet", ""):
         info = json.loads("".join(r[0] for r in spark.read.text(path.rstrip("/") + ".json").collect()))
         grid = Grid(**info["grid"]) if srs is None else Grid(**info["grid"] | {"srs": srs})

@@ -11,9 +11,6 @@ from pyspark.sql import Window as W
 from ..errors import DataError
 from ..functions.schema import inferred_types, repaired_header, typed
 
-#: Lines read to find the metadata and the header.
-HEAD = 200
-
 
 @dataclass
 class CsvTable:
@@ -38,11 +35,13 @@ def parsed_meta(lines: list[str], delimiter: str = ",") -> dict[str, object]:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, types: dict[str, str] | None = None) -> CsvTable:
     """A typed table. Types come from the metadata (`#dtypes`), the argument, or a pass over all rows."""
-    head = [r[0].lstrip("﻿").rstrip("\r") for r in spark.read.text(path).take(HEAD)]
-    comments = [x for x in head if x.startswith("#")]
-    first = next((x for x in head if not x.startswith("#")), None)
-    if first is None:
+    # the header is the first line that is no comment, wherever it stands, and the metadata are the comments before it
+    lines = spark.read.text(path).select(F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("v"), F.monotonically_increasing_id().alias("i"))
+    found = lines.where("NOT startswith(v, '#')").first()
+    if found is None:
         raise DataError(f"{path} has no header")
+    first = found["v"]
+    comments = [r["v"] for r in lines.where(F.col("v").startswith("#") & (F.col("i") < found["i"])).orderBy("i").collect()]
     meta = parsed_meta(comments, delimiter)
     cells = [c.strip().strip('"') for c in first.split(delimiter)]
     names = repaired_header(cells if header else None, len(cells))

@@ -8,6 +8,7 @@ import struct
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..errors import DataError, DriverError
@@ -16,19 +17,29 @@ from ..operators import geometry
 READERS = (".geojson", ".json", ".geojsonl", ".gpkg", ".parquet")
 
 
-def read_vector(spark: SparkSession, path: str, layer: str | None = None) -> tuple[DataFrame, str]:
-    """(table with `geom` and minx, maxx, miny, maxy, its coordinate system)."""
+def read_vector(spark: SparkSession, path: str, layer: str | None = None, srs: str | None = None) -> tuple[DataFrame, str | None]:
+    """(table with `geom` and minx, maxx, miny, maxy, its coordinate system). srs, if given, replaces what the file says."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".parquet":
         df = spark.read.parquet(path)
-        return (df if "minx" in df.columns else with_envelope(df)), "EPSG:4326"
+        return (df if "minx" in df.columns else with_envelope(df)), srs or stored_srs(spark, path)
     if suffix in (".geojson", ".json", ".geojsonl"):
-        return read_geojson(spark, path)
+        df, own = read_geojson(spark, path)
+        return df, srs or (stored_srs(spark, path, own) if suffix == ".geojsonl" else own)
     if suffix == ".gpkg":
-        return read_gpkg(spark, path, layer)
+        df, own = read_gpkg(spark, path, layer)
+        return df, srs or own
     raise DriverError("vector", path)
 
 
+def stored_srs(spark: SparkSession, path: str, default: str | None = None) -> str | None:
+    """The system that write_vector stored beside a table, for forms that can't hold it."""
+    try:
+        return spark.read.text(path.rstrip("/") + ".srs").first()[0]
+    except AnalysisException:
+        return default
+
+
 def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
     return df.withColumn("_e", geometry.envelope_of(F.col(geom))).select("*", "_e.*").drop("_e")
 
@@ -130,9 +141,11 @@ def write_geojson(df: DataFrame, path: str, geom: str = "geom", mode: str = "ove
     df.select(feature.alias("value")).write.mode(mode).text(path)
 
 
-def write_vector(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """By suffix; `append` adds to a layer."""
+def write_vector(df: DataFrame, path: str, mode: str = "overwrite", srs: str | None = None) -> None:
+    """By suffix; `append` adds to a layer. The system, if given, is stored beside the table."""
     suffix = Path(path.rstrip("/")).suffix.lower()
+    if srs:
+        df.sparkSession.createDataFrame([(srs,)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + ".srs")
     if suffix in (".geojson", ".geojsonl", ".json"):
         write_geojson(df, path, mode=mode)
     elif suffix in (".parquet", ""):
