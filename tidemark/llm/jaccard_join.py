@@ -32,11 +32,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import release, settled, slices, small, table, worker_cache
+from .common import done_with, release, settled, slices, small, table, unskewed_join, worker_cache
 from .wordhash import MIX, WordHashes, mixed, windows
 
 WORDS = 5
@@ -51,13 +51,12 @@ HISTOGRAM = 256
 STRONG, MERGED, BLOCK, BLOCK_SHINGLES = 3, 4, 1000, 400_000
 
 
-def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes; bytes.lower() and bytes.split() are the rule's A-Z and white space."""
-    w = (text or b"").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(w)
-    return np.unique(windows(h, min(words, len(w))))
+def shingles(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Arrow's ASCII lower case and white space are those of the rule."""
+    h, ends = worker_cache("words", WordHashes).split(column, lower=True)
+    every, ends = windows(h, words), ends.tolist()
+    runs = [every[a : b - words + 1] if b - a >= words else windows(h[a:b], b - a) if b > a else h[:0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return list(map(np.unique, runs))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -162,9 +161,8 @@ def signatures(s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
 
 def _sets(batches):
     """The set's size and digest for each row; and rows (hi, n_shingles) of shingles that several documents of a slice have, with their number."""
-    hashes = worker_cache("words", WordHashes)
     for batch in slices(batches):
-        got = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+        got = shingles(batch.column("text"))
         pairs = [digest(s) if len(s) else (None, None) for s in got]
         ids, sizes, his, los = batch.column("doc_id").to_pylist(), [len(s) for s in got], [p[0] for p in pairs], [p[1] for p in pairs]
         often, times = np.unique(np.concatenate([*got, np.zeros(0, np.uint64)]), return_counts=True)
@@ -177,45 +175,49 @@ def _sets(batches):
 
 
 def _index(common):
-    """(sig, lo), lo naming the class; a batch sends a class only once. common: the sorted shingles that many documents have."""
+    """(key, sig, lo), lo naming the class; a slice sends a class only once. common: the sorted shingles that many documents have.
+
+    A signature that several classes of a slice have is known to be shared: all these classes are sent under keys of their own, with the
+    signature, and only the first also under the signature, for other slices. So no key has more rows than there are slices.
+    """
 
     def run(batches):
-        yield from _indexed(batches, common.value)
+        for batch in slices(batches):
+            seen, sigs, los, pending = set(), [], [], 0
+            for s in shingles(batch.column("text")):
+                if not len(s) or (d := digest(s)) in seen:
+                    continue
+                seen.add(d)
+                sigs.append(signatures(s, common.value))
+                los.append(d[1])
+                pending += len(sigs[-1])
+                if pending > 500_000:
+                    yield _keyed(sigs, los)
+                    sigs, los, pending = [], [], 0
+            if sigs:
+                yield _keyed(sigs, los)
 
     return run
 
 
-def _indexed(batches, common: np.ndarray):
-    hashes = worker_cache("words", WordHashes)
-    for batch in slices(batches):
-        seen, sigs, los, pending = set(), [], [], 0
-
-        def packed():
-            n = [len(x) for x in sigs]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(los, np.int64), n))], names=["sig", "lo"])
-
-        for text in batch.column("text").to_pylist():
-            s = shingles(text, hashes)
-            if not len(s) or (d := digest(s)) in seen:
-                continue
-            seen.add(d)
-            sigs.append(signatures(s, common))
-            los.append(d[1])
-            pending += len(sigs[-1])
-            if pending > 200_000:
-                yield packed()
-                sigs, los, pending = [], [], 0
-        if sigs:
-            yield packed()
+def _keyed(sigs: list[np.ndarray], los: list[int]) -> pa.RecordBatch:
+    sig, lo = np.concatenate(sigs), np.repeat(np.array(los, np.int64), list(map(len, sigs)))
+    order = np.argsort(sig, kind="stable")
+    first = np.r_[True, sig[order][1:] != sig[order][:-1]]
+    known, asks = np.zeros((2, len(sig)), bool)
+    known[order], asks[order] = ~first | np.r_[~first[1:], False], first
+    # rows of a class stay together, which packs well in the exchange
+    own = mixed(mixed(sig[known]) ^ lo[known].view(np.uint64))
+    keys, n = np.r_[own, sig[asks]].view(np.int64), len(own)
+    shared = pa.array(np.r_[sig[known].view(np.int64), np.zeros(asks.sum(), np.int64)], mask=np.arange(len(keys)) >= n)
+    return pa.RecordBatch.from_arrays([pa.array(keys), shared, pa.array(np.r_[lo[known], lo[asks]])], names=["key", "sig", "lo"])
 
 
 def _contents(batches):
     """c, n, hist, s of the rows whose set is the class named by lo."""
-    hashes = worker_cache("words", WordHashes)
     for batch in slices(batches):
         rows = []
-        for c, lo, text in zip(batch.column("c").to_pylist(), batch.column("lo").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            s = shingles(text, hashes)
+        for c, lo, s in zip(batch.column("c").to_pylist(), batch.column("lo").to_pylist(), shingles(batch.column("text")), strict=True):
             if len(s) and digest(s)[1] == lo:
                 rows.append((c, s))
         marks = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=HISTOGRAM), 127).astype(np.int8) for _, s in rows]
@@ -289,6 +291,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         after = settled(small)
         sums = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for d in (edges, after)]
+        done_with(edges)
         edges = after
         if sums[0] == sums[1]:
             return edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("root"))
@@ -310,15 +313,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 def shared_signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """(sig, lo) of the signatures that several classes have."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    rows = _binary(docs).mapInArrow(_index(sent), "sig long, lo long")
+    rows = _binary(docs).mapInArrow(_index(sent), "key long, sig long, lo long")
     # one exchange: the classes of a signature lie together, and those that are alone in it end here
-    w = W.partitionBy("sig")
-    return settled(rows.withColumn("x", F.min("lo").over(w)).withColumn("y", F.max("lo").over(w)).where("x <> y").select("sig", "lo").distinct())
+    w = W.partitionBy("key")
+    found = rows.withColumn("x", F.min("lo").over(w)).withColumn("y", F.max("lo").over(w)).where("sig IS NOT NULL OR x <> y")
+    return settled(found.select(F.coalesce("sig", "key").alias("sig"), "lo").distinct())
+
+
+def with_extremes(member: DataFrame, **columns: Column) -> DataFrame:
+    """member with aggregates of its signatures' rows: summed before the exchange and joined, as a window can't split a signature that many classes have."""
+    per = member.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in columns.items()]).where("_n > 1").drop("_n")
+    return member.join(per, "sig")
 
 
 def merged_families(member: DataFrame, families: DataFrame) -> DataFrame:
     """(c, fam) after joining families that share MERGED signatures or more with one that comes first in them."""
-    held = member.select("sig", "c").join(small(families), "c").select("sig", "fam").withColumn("f0", F.min("fam").over(W.partitionBy("sig")))
+    held = with_extremes(member.select("sig", "c").join(small(families), "c").select("sig", "fam"), f0=F.min("fam"))
     ties = held.where("fam <> f0").distinct().groupBy(F.col("fam").alias("a"), F.col("f0").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     to = _roots(families.select(F.col("fam").alias("c")).distinct(), settled(ties.where(F.col("times") >= MERGED).select("a", "b")))
     return families.join(to.select(F.col("c").alias("fam"), F.col("root").alias("to")), "fam").select("c", F.col("to").alias("fam"))
@@ -351,8 +361,8 @@ def class_links(docs: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFra
     nodes = settled(content.select("c", "n").distinct())
     named = settled(reps.join(nodes, "c"))
     member = settled(shared.join(small(named), "lo").select("sig", "c", "n"))
-    drawn = F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")).over(W.partitionBy("sig"))
-    met = member.withColumn("m", drawn).where("m.c <> c AND 5 * least(n, m.n) >= 4 * greatest(n, m.n)").groupBy("c", F.col("m.c").alias("m")).agg(F.count(F.lit(1)).alias("times"))
+    drawn = with_extremes(member, m=F.min(F.struct(F.xxhash64("c").alias("h"), "c", "n")))
+    met = drawn.where("m.c <> c AND 5 * least(n, m.n) >= 4 * greatest(n, m.n)").groupBy("c", F.col("m.c").alias("m")).agg(F.count(F.lit(1)).alias("times"))
     met = settled(met.where(F.col("times") >= STRONG))
     best = met.groupBy("c").agg(F.max_by("m", F.struct("times", "m")).alias("m")).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
     links = settled(verified(best, content))
@@ -364,9 +374,8 @@ def class_links(docs: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFra
     release(docs.sparkSession)
     roots = _roots(nodes.select("c"), links).withColumnRenamed("root", "r")
     known = settled(roots.join(families, "c"))
-    w = W.partitionBy("sig")
-    among = {"r0": F.min("r").over(w), "r1": F.max("r").over(w), "f0": F.min("fam").over(w), "f1": F.max("fam").over(w)}
-    rest = settled(member.join(small(known), "c").withColumns(among).where("r0 <> r1 AND f0 <> f1").drop(*among))
+    among = {"r0": F.min("r"), "r1": F.max("r"), "f0": F.min("fam"), "f1": F.max("fam")}
+    rest = settled(with_extremes(member.join(small(known), "c"), **among).where("r0 <> r1 AND f0 <> f1").drop(*among))
     both = rest.alias("x").join(rest.alias("y"), F.expr(f"x.sig = y.sig AND x.c < y.c AND x.r <> y.r AND x.fam <> y.fam AND {SIZES_LINK}"))
     pairs = both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     return settled(links.union(verified(pairs, content)))
@@ -376,11 +385,11 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of (doc_id, text)."""
     sets, common = classes(docs)
     links = class_links(docs, sets, common)
-    first = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("c"))
+    first = sets.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("c"), F.count(F.lit(1)).alias("rows"))
     if links is not None:
         # the smallest representative of a component is its smallest document
-        first = first.join(components(links), "c", "left").select("hi", "lo", F.coalesce("root", "c").alias("c"))
-    out = sets.join(first, ["hi", "lo"], "left")
+        first = first.join(components(links), "c", "left").select("hi", "lo", F.coalesce("root", "c").alias("c"), "rows")
+    out = unskewed_join(sets, settled(first), ["hi", "lo"], "rows")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
