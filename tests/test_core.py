@@ -106,6 +106,44 @@ def test_geometry_against_sampling():
                 assert near <= geometry.touches_box(shape, box)
 
 
+def test_touched_runs_against_each_cell():
+    """Half of the shapes lie on cell borders and corners; several shapes at a time, rows and columns in both directions."""
+    rng = np.random.default_rng(5)
+    for transform in ((0.0, 1.0, 0.0, 1.0), (0.0, 1.0, 10.0, -1.0), (10.0, -1.25, 0.1, 0.7)):
+        shapes, windows = [], []
+        for t in range(150):
+            kind = ("polygon", "line", "point")[t % 3]
+            parts = [rng.uniform(-3, 13, (rng.integers(3, 9) if kind == "polygon" else rng.integers(1, 6) if kind == "line" else 1, 2)) for _ in range(1 + t % 2)]
+            shapes.append((kind, [np.round(p * 2) / 2 if t % 4 < 2 else p for p in parts]))
+            windows.append((t % 2, 7, 1 + t % 3, 8))
+        x0, dx, y0, dy = transform
+        got = {(i, r, c) for i, r, a, b in geometry.touched_runs(shapes, np.array(windows), transform).tolist() for c in range(a, b + 1)}
+        want = set()
+        for i, (c0, c1, r0, r1) in enumerate(windows):
+            for r in range(r0, r1 + 1):
+                for c in range(c0, c1 + 1):
+                    x, y = x0 + c * dx, y0 + r * dy
+                    if geometry.touches_box(shapes[i], (min(x, x + dx), max(x, x + dx), min(y, y + dy), max(y, y + dy))):
+                        want.add((i, r, c))
+        assert got == want
+
+
+def test_clip_keeps_objects_without_cells(spark):
+    """A tall polygon in many slices, one around the grid, one outside of it, and none at all."""
+    tall = geometry.to_wkb("polygon", [[(1.5, -1), (2.5, -1), (2.5, 999), (1.5, 999), (1.5, -1)]])
+    around = geometry.to_wkb("polygon", [[(-9, -9), (9, -9), (9, 1200), (-9, 1200), (-9, -9)], [(-2, -2), (6, -2), (6, 1100), (-2, 1100), (-2, -2)]])
+    outside = geometry.to_wkb("point", [[(50, 50)]])
+    df = spark.createDataFrame([(1, tall), (2, around), (3, outside), (4, None)], "id int, geom binary")
+    df = df.withColumn("_e", geometry.envelope_of(F.col("geom"))).select("id", "geom", "_e.*")
+    grid = overlay.Grid(0.0, 1.0, 0.0, 1.0, 4, 1000)
+    got = overlay.clipped(df, grid, "geom").select("id", "row", "col").collect()
+    assert sorted(map(tuple, got)) == [(1, r, c) for r in range(1000) for c in (1, 2)]
+    kept = overlay.clipped(df, grid, "geom", outer=True).select("id", "row", "col")
+    assert sorted(map(tuple, kept.where("id > 1").collect())) == [(2, None, None), (3, None, None), (4, None, None)] and kept.count() == 2003
+    boxes = overlay.clipped(df.drop("geom"), grid, outer=True).where("id > 2").select("id", "row", "col")
+    assert sorted(map(tuple, boxes.collect())) == [(3, None, None), (4, None, None)]
+
+
 def test_geometry_forms():
     hole = {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]]}
     shape = geometry.from_geojson(hole)

@@ -190,21 +190,129 @@ def reprojected(shape: Shape, src: str, dst: str) -> Shape:
     return shape[0], [go(p) for p in shape[1]]
 
 
-def touches_cell(geom: Column, x: Column, y: Column, dx: float, dy: float) -> Column:
-    """Whether the WKB geometry touches the cell whose corner is (x, y)."""
-
-    @F.pandas_udf("boolean")
-    def run(g: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[bytes, Shape] = {}
-        out = []
-        for data, a, b in zip(g, x, y, strict=True):
-            shape = known.get(data)
-            if shape is None:
-                shape = known[data] = from_wkb(data)
-            out.append(touches_box(shape, (min(a, a + dx), max(a, a + dx), min(b, b + dy), max(b, b + dy))))
-        return pd.Series(out)
-
-    return run(geom, x, y)
+#: Cells whose answer hangs on less than this part of a cell are tested one by one with touches_box.
+NEAR = 1e-7
+
+
+def _union(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of closed integer intervals as disjoint intervals that don't adjoin."""
+    keep = first <= last
+    first, last = first[keep], last[keep]
+    if not len(first):
+        return first, last
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    new = np.r_[True, first[1:] > reach[:-1] + 1]
+    return first[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]]
+
+
+def _segments(shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the border's pieces; a point is a piece without length."""
+    kind, parts = shape
+    if kind == "polygon":
+        return np.concatenate(parts), np.concatenate([np.concatenate((p[1:], p[:1])) for p in parts])
+    pairs = [(p, p) if kind == "point" or len(p) < 2 else (p[:-1], p[1:]) for p in parts]
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def touched_runs(shapes: list[Shape], windows: np.ndarray, transform: tuple[float, float, float, float]) -> np.ndarray:
+    """Rows (number of the shape, row, first col, last col), ordered, of the cells that each shape touches within its window c0, c1, r0, r1.
+
+    transform is x0, dx, y0, dy. A row's cells are those that meet the border's pieces in the row, or the stretches inside along the row's
+    middle. Work and memory follow the borders' lengths in rows and the runs, not the cells.
+    """
+    x0, dx, y0, dy = transform
+    ends = [_segments(s) for s in shapes]
+    shape = np.repeat(np.arange(len(shapes)), [len(a) for a, _ in ends])
+    area = np.array([kind == "polygon" for kind, _ in shapes])
+    c0, c1, r0, r1 = windows.T
+    a, b = np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends])
+    ua, va, ub, vb = (a[:, 0] - x0) / dx, (a[:, 1] - y0) / dy, (b[:, 0] - x0) / dx, (b[:, 1] - y0) / dy
+    low, high = np.minimum(va, vb), np.maximum(va, vb)
+    top = np.maximum(np.ceil(low - NEAR) - 1, r0[shape]).astype(np.int64)
+    n = np.maximum(np.minimum(np.floor(high + NEAR), r1[shape]).astype(np.int64) - top + 1, 0)
+    row = np.arange(n.sum()) + np.repeat(top - np.cumsum(n) + n, n)
+    ua, va, ub, vb, low, high, shape = (np.repeat(c, n) for c in (ua, va, ub, vb, low, high, shape))
+    flat = va == vb
+    slope = (ub - ua) / np.where(flat, 1.0, vb - va)
+    at = lambda v: np.where(v == va, ua, np.where(v == vb, ub, ua + (v - va) * slope))
+    # a line is a row of a shape's window; lines of all shapes follow each other
+    lines = np.cumsum(r1 - r0 + 1) - (r1 - r0 + 1)
+    line = lines[shape] + row - r0[shape]
+    width = int((c1 - c0).max()) + 3  # runs of two lines never adjoin
+
+    def coded(shape: np.ndarray, line: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, last = np.maximum(first, c0[shape]), np.minimum(last, c1[shape])
+        some = first <= last
+        base = (line * width - c0[shape])[some]
+        return base + first[some].astype(np.int64), base + last[some].astype(np.int64)
+
+    def border(margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that meet the border within each row, which is widened by the margin."""
+        v0, v1 = np.maximum(low, row - margin), np.minimum(high, row + 1 + margin)
+        p, q = np.where(flat, ua, at(v0)), np.where(flat, ub, at(v1))
+        first, last = np.ceil(np.minimum(p, q) - margin) - 1, np.floor(np.maximum(p, q) + margin)
+        return coded(shape, line, first, np.where(v0 <= v1, last, first - 1))
+
+    middle = row + 0.5
+    over = ((va > middle) != (vb > middle)) & area[shape]
+    u, inner, whose = at(middle)[over], line[over], shape[over]
+    order = np.lexsort((u, inner))
+    u, inner, whose = u[order], inner[order], whose[order]
+    stretches = coded(whose[::2], inner[::2], np.ceil(u[::2] + NEAR) - 1, np.floor(u[1::2] - NEAR))
+    both = lambda *runs: _union(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+    known = both(border(-NEAR), stretches)
+    reach = both(known, border(NEAR))
+    # known runs lie within those in reach, so sorted ends pair up to the gaps between them
+    tested = []
+    for g0, g1 in zip(np.sort(np.r_[reach[0], known[1] + 1]).tolist(), np.sort(np.r_[known[0] - 1, reach[1]]).tolist(), strict=True):
+        for cell in range(g0, g1 + 1):
+            i = int(np.searchsorted(lines, cell // width, "right")) - 1
+            x, y = x0 + (cell % width + int(c0[i])) * dx, y0 + (cell // width - int(lines[i]) + int(r0[i])) * dy
+            if touches_box(shapes[i], (min(x, x + dx), max(x, x + dx), min(y, y + dy), max(y, y + dy))):
+                tested.append(cell)
+    more = np.array(tested, dtype=np.int64)
+    first, last = both(known, (more, more))
+    i = np.searchsorted(lines, first // width, "right") - 1
+    return np.column_stack([i, first // width - lines[i] + r0[i], first % width + c0[i], last % width + c0[i]])
+
+
+#: Vertices and rows of cells that touched_runs takes at a time.
+AT_ONCE = 200_000
+
+
+def runs_of(geom: Column, window: list[Column], transform: tuple[float, float, float, float], start: Column, height: int, outer: bool) -> Column:
+    """Array of (row, c0, c1) that the WKB touches within its window c0, c1, r0, r1, for the rows from start on.
+
+    With outer, a geometry that touches nothing in its window has one run of NULLs, in its first slice.
+    """
+
+    @F.pandas_udf("array<struct<row:int,c0:int,c1:int>>")
+    def run(g: pd.Series, c0: pd.Series, c1: pd.Series, r0: pd.Series, r1: pd.Series, start: pd.Series) -> pd.Series:
+        nothing = [{"row": None, "c0": None, "c1": None}] if outer else []
+        have = np.flatnonzero((g.notna() & start.notna()).to_numpy())
+        out: list[list[dict]] = [[] if g.iat[i] is not None and pd.notna(start.iat[i]) else list(nothing) for i in range(len(g))]
+        whole = np.column_stack([c.fillna(0).to_numpy(dtype=np.int64) for c in (c0, c1, r0, r1)])
+        first = start.fillna(0).to_numpy(dtype=np.int64)
+        windows = whole.copy()
+        windows[:, 2], windows[:, 3] = first, np.minimum(first + height - 1, whole[:, 3])
+        at = 0
+        while at < len(have):
+            shapes, size, begin = [], 0, at
+            while at < len(have) and (not shapes or size < AT_ONCE):
+                i = have[at]
+                shapes.append(from_wkb(g.iat[i]))
+                size += sum(map(len, shapes[-1][1])) + int(windows[i, 3] - windows[i, 2])
+                at += 1
+            these = have[begin:at]
+            for n, row, a, b in touched_runs(shapes, windows[these], transform).tolist():
+                out[these[n]].append({"row": row, "c0": a, "c1": b})
+            for n, i in enumerate(these) if outer else ():
+                if not out[i] and first[i] == whole[i, 2] and not len(touched_runs([shapes[n]], whole[i : i + 1], transform)):
+                    out[i] = list(nothing)
+        return pd.Series(out, dtype=object)
+
+    return run(geom, *window, start)
 
 
 def envelope_of(geom: Column) -> Column:

@@ -49,26 +49,37 @@ def pinned(objects: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFr
     return objects.withColumn("col", F.when(ok, col)).withColumn("row", F.when(ok, row))
 
 
-def window_cells(objects: DataFrame, grid: Grid, scale: int = 1) -> DataFrame:
-    """A row for each cell of the object's envelope (minx, maxx, miny, maxy), within the grid; touching counts. scale splits cells."""
-    dx, dy = grid.dx / scale, grid.dy / scale
-    us = [(F.col("minx") - grid.x0) / dx, (F.col("maxx") - grid.x0) / dx]
-    vs = [(F.col("miny") - grid.y0) / dy, (F.col("maxy") - grid.y0) / dy]
-    first = lambda c: (F.ceil(F.least(*c)) - 1).cast("int")
-    last = lambda c: F.floor(F.greatest(*c)).cast("int")
-    c0, c1 = F.greatest(first(us), F.lit(0)), F.least(last(us), F.lit(grid.width * scale - 1))
-    r0, r1 = F.greatest(first(vs), F.lit(0)), F.least(last(vs), F.lit(grid.height * scale - 1))
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    return objects.withColumn("col", F.explode(span(c0, c1))).withColumn("row", F.explode(span(r0, r1)))
-
-
-def clipped(objects: DataFrame, grid: Grid, geom: str | None = None) -> DataFrame:
-    """A row for each cell that the object touches. Without a geometry column the envelope is the object; else WKB is tested in Arrow batches."""
-    cells = window_cells(objects, grid)
+def window_of(grid: Grid) -> list[Column]:
+    """c0, c1, r0, r1 of an envelope (minx, maxx, miny, maxy) within the grid; touching counts. Empty where c0 > c1 or r0 > r1."""
+    us = [(F.col("minx") - grid.x0) / grid.dx, (F.col("maxx") - grid.x0) / grid.dx]
+    vs = [(F.col("miny") - grid.y0) / grid.dy, (F.col("maxy") - grid.y0) / grid.dy]
+    first = lambda c: F.greatest((F.ceil(F.least(*c)) - 1).cast("int"), F.lit(0))
+    last = lambda c, n: F.least(F.floor(F.greatest(*c)).cast("int"), F.lit(n - 1))
+    return [first(us), last(us, grid.width), first(vs), last(vs, grid.height)]
+
+
+#: Rows of cells that one call looks at: a geometry is copied once for each, so that a very tall one isn't a single piece of work.
+SLICE_ROWS = 256
+
+
+def clipped(objects: DataFrame, grid: Grid, geom: str | None = None, outer: bool = False) -> DataFrame:
+    """A row for each cell that the object touches; with outer, a row with NULL row and col for an object that touches none.
+
+    Without a geometry column the envelope is the object. Else WKB goes to Python once for each SLICE_ROWS rows and comes back as runs of
+    cells, which are expanded in the JVM: no geometry is sent or kept for a cell.
+    """
+    explode = F.explode_outer if outer else F.explode
+    c0, c1, r0, r1 = window_of(grid)
+    # least and greatest pass over NULLs, so an envelope with one would be the whole grid
+    some = (c0 <= c1) & (r0 <= r1) & (F.col("minx") + F.col("maxx") + F.col("miny") + F.col("maxy")).isNotNull()
+    span = lambda a, b, *step: F.when(some, F.sequence(a, b, *step)).otherwise(F.array().cast("array<int>"))
     if geom is None:
-        return cells
-    x, y = corner_of(grid, F.col("col"), F.col("row"))
-    return cells.where(geometry.touches_cell(F.col(geom), x, y, grid.dx, grid.dy))
+        return objects.withColumn("col", explode(span(c0, c1))).withColumn("row", explode(span(r0, r1)))
+    sliced = objects.withColumn("_slice", explode(span(r0, r1, F.lit(SLICE_ROWS))))
+    runs = geometry.runs_of(F.col(geom), [c0, c1, r0, r1], (grid.x0, grid.dx, grid.y0, grid.dy), F.col("_slice"), SLICE_ROWS, outer)
+    found = sliced.withColumn("_run", F.explode(runs)).withColumn("row", F.col("_run.row"))
+    cols = F.when(F.col("_run.c0").isNotNull(), F.sequence("_run.c0", "_run.c1"))
+    return found.withColumn("col", explode(cols)).drop("_slice", "_run")
 
 
 def clipped_weights(objects: DataFrame, grid: Grid, keys: list[str], upscale: int = 10, geom: str | None = None) -> DataFrame:

@@ -35,11 +35,9 @@ def asset_cells(assets: DataFrame, grid: overlay.Grid, geom: str | None, keys: l
     if geom is not None:
         points = points.withColumn("_p", geometry.interior_point_of(F.col(geom))).withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y"))
     points = overlay.pinned(points, grid).select(*keep)
-    areas = assets.where(area)
-    touched = overlay.clipped(areas, grid, geom).select(*keep)
     # areas without any cell keep a row
-    outside = areas.join(touched.select(*keys).distinct(), list(keys), "left_anti").select(*keys, "ground", "ground_flht", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"))
-    return points.unionByName(touched).unionByName(outside)
+    touched = overlay.clipped(assets.where(area), grid, geom, outer=True).select(*keep)
+    return points.unionByName(touched)
 
 
 def impact(assets: DataFrame, hazard: rasters.Raster, dense: DataFrame, bands: list[str], types: list[str] = ("damage",), periods: list[float] | None = None, settings: dict | None = None, geom: str | None = None, method: str = "mean") -> DataFrame:
